@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, nearest, packing, sentencepiece_bpe, token_output
+from . import exact_dedup, line_dedup, nearest, packing, quality, sentencepiece_bpe, token_output, toxicity
 from .common import scratch, table
 
 
@@ -21,6 +21,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score_quality(docs, quality.fit_quality(docs, labels))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-shards")
     token_output.write_token_shards(table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"))
@@ -35,6 +40,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -45,9 +55,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
     "op3_token_output": op3_token_output,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_nearest": op10_nearest,
 }
