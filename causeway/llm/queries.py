@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, nearest, packing, quality, sentencepiece_bpe, substring_dedup, token_output, toxicity
+from . import exact_dedup, jaccard, line_dedup, nearest, packing, quality, sentencepiece_bpe, substring_dedup, token_output, toxicity
 from .common import scratch, table
 
 
@@ -40,6 +40,10 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_output": op3_token_output,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_suffix_array": op5_suffix_array,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
