@@ -439,3 +439,12 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     gives no rows; further columns are ignored.
     """
     return _Join(docs, size, percent, id_col, text_col).run()
+
+
+def near_dedup(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component
+    the rows with its smallest id.  A row with a null id stays only where its
+    component has no other id."""
+    found = jaccard_components(docs, size, percent, id_col, text_col)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")

@@ -239,3 +239,26 @@ def score_quality(docs: DataFrame, model: LineField, threshold: float = 0.3, id_
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col) == 0).alias("held_out"), text_of(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(_score(model, threshold), f"doc_id {kind}, held_out boolean, score double, predicted int, bad_share double")
+
+
+def _accept(model: LineField, threshold: float):
+    score = _score(model, threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(batch.num_columns - 1)
+            plain = pa.RecordBatch.from_arrays([text, text, text], ["doc_id", "held_out", "text"])
+            for scored in score(iter([plain])):
+                keep = scored.column("predicted").to_numpy() == 1
+                yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(keep))
+
+    return run
+
+
+def keep_good(docs: DataFrame, model: LineField, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all their
+    columns; a null text is empty.  Scoring and filter are one pass without a
+    join, so ids may be null or repeat."""
+    arrow_batches(docs.sparkSession)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(*columns, text_of(text_col).alias("scored text")).mapInArrow(_accept(model, threshold), docs.schema)

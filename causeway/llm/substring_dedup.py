@@ -282,3 +282,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     out = texts.join(marks, ["doc_id", "version"], "left").select("doc_id", "version", "text", "ranges")
     out = out.mapInArrow(_remove(window, with_text), schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != null, F.col("doc_id"))).drop("version")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the text that :func:`substring_dedup` leaves and, where there is
+    such a column, its length in ``chars_col``.  Documents that lose all their
+    text go; those that were empty before stay.  Ids are taken as unique."""
+    found = substring_dedup(docs, window, id_col=id_col, text_col=text_col, with_text=True)
+    left = found.filter("n_removed = 0 or n_removed < n_bytes").select(F.col("doc_id").alias("__id"), "n_removed", "kept_text")
+    joined = docs.join(left, docs[id_col].eqNullSafe(F.col("__id")))
+    changed = F.col("n_removed") > 0
+    out = {text_col: F.when(changed, F.col("kept_text")).otherwise(F.col(text_col))}
+    if chars_col in docs.columns:
+        kind = docs.schema[chars_col].dataType
+        out[chars_col] = F.when(changed, F.length("kept_text").cast(kind)).otherwise(F.col(chars_col))
+    return joined.withColumns(out).select(*[F.col(f"`{c}`") for c in docs.columns])
