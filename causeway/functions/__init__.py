@@ -16,7 +16,7 @@ def powerset(column: Column | str) -> Column:
     holds the elements at the set bits of k."""
     column = F.col(column) if isinstance(column, str) else column
     pick = lambda k: F.filter(column, lambda _, i: F.call_function("getbit", k, i) == 1)
-    subsets = F.transform(F.sequence(F.lit(0).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.size(column)) - 1), pick)
+    subsets = F.transform(F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.size(column)) - 1), pick)
     return F.when(F.size(column) <= 20, subsets).otherwise(F.raise_error(F.lit("powerset of more than 20 elements")))
 
 
