@@ -14,9 +14,12 @@ in one call, and so are some whole texts of each batch.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, text_of
 
 SPACE_MARK = "▁"
+_RUNS = re.compile(rf"{SPACE_MARK}*\w+|{SPACE_MARK}+|[^\w{SPACE_MARK}]+")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -33,8 +37,8 @@ class AgendaEncoder:
     sampling.  Needs a merge-type model with the identity normaliser that
     keeps all white space; raises ValueError otherwise."""
 
-    #: Parts kept; beyond it the cache starts again from the batch at hand.
-    LIMIT = 300_000
+    #: Parts kept; beyond it the older half goes, but for the batch at hand.
+    LIMIT, ATOMS = 1_400_000, 600_000
 
     def __init__(self, path: str, check_every: int = 20) -> None:
         import sentencepiece
@@ -46,67 +50,90 @@ class AgendaEncoder:
         pieces = [lib.id_to_piece(i) for i in range(lib.vocab_size())]
         special = [lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) for i in range(len(pieces))]
         self.ids = {p: i for i, p in enumerate(pieces) if not special[i]}
-        self.scores = {p: -lib.get_score(i) for p, i in self.ids.items()}
+        scores = {p: -lib.get_score(i) for p, i in self.ids.items()}
+        order = {x: r for r, x in enumerate(sorted(set(scores.values())))}
+        #: Place of a piece's score among all scores, the highest first.
+        self.ranks = {p: order[x] for p, x in scores.items()}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(pieces) if lib.is_byte(i)}
         if len(self.bytes) != 256:
             raise ValueError("the vocabulary has no byte pieces")
         self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         #: Then each space after another character starts a part.
         self.by_words = not any(x[1] == SPACE_MARK and x[0] != SPACE_MARK for x in self.joined)
-        self.atoms: dict[str, list[int]] = {}
-        self.cache: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.decimal = [str(i) for i in range(len(pieces))]
+        self.atoms: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
 
     def agenda(self, text: str) -> list[int]:
-        """Ids of a text whose spaces are marks already."""
-        symbols: list[str | None] = list(text)
+        """Ids of a text whose spaces are marks already.
+
+        An agenda entry is one number: rank of the joined piece, then the left
+        and the right symbol's place, 24 bits each."""
+        symbols: list[str] = list(text)
         n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        scores, agenda = self.scores, []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if pair in scores:
-                agenda.append((scores[pair], i, i + 1, pair))
-        heapq.heapify(agenda)
-        while agenda:
-            _, left, right, pair = heapq.heappop(agenda)
-            a, b = symbols[left], symbols[right]
-            if a is None or b is None or len(a) + len(b) != len(pair) or after[left] != right:
-                continue
-            symbols[left], symbols[right] = pair, None
-            follow = after[left] = after[right]
-            if follow >= 0:
-                before[follow] = left
-                new = pair + symbols[follow]
-                if new in scores:
-                    heapq.heappush(agenda, (scores[new], left, follow, new))
-            lead = before[left]
-            if lead >= 0:
-                new = symbols[lead] + pair
-                if new in scores:
-                    heapq.heappush(agenda, (scores[new], lead, left, new))
+        if n >= 1 << 24:
+            raise ValueError("a part has too many characters")
+        ranks = self.ranks
+        rank_of = ranks.get
+        agenda = []
+        i = 0
+        for a, b in zip(text, text[1:]):
+            rank = rank_of(a + b)
+            if rank is not None:
+                agenda.append(rank << 48 | i << 24 | i + 1)
+            i += 1
+        if agenda:
+            heapify(agenda)
+            before, after = list(range(-1, n)), [*range(1, n), -1]
+            while agenda:
+                entry = heappop(agenda)
+                left, right = entry >> 24 & 0xFFFFFF, entry & 0xFFFFFF
+                if after[left] != right:
+                    continue
+                pair = symbols[left] + symbols[right]
+                if rank_of(pair) != entry >> 48:
+                    continue  # a symbol has grown since
+                symbols[left], symbols[right] = pair, ""
+                follow = after[left] = after[right]
+                after[right] = -2
+                if follow >= 0:
+                    before[follow] = left
+                    rank = rank_of(pair + symbols[follow])
+                    if rank is not None:
+                        heappush(agenda, rank << 48 | left << 24 | follow)
+                lead = before[left]
+                if lead >= 0:
+                    rank = rank_of(symbols[lead] + pair)
+                    if rank is not None:
+                        heappush(agenda, rank << 48 | lead << 24 | left)
         out: list[int] = []
+        ids = self.ids
         for s in symbols:
-            if s is not None:
-                i = self.ids.get(s)
+            if s:
+                i = ids.get(s)
                 if i is None:
-                    out.extend(self.bytes[x] for x in s.encode())
+                    out.extend([self.bytes[x] for x in s.encode()])
                 else:
                     out.append(i)
         return out
 
-    def part(self, text: str) -> list[int]:
-        """Ids of a part, cut further where no piece joins two characters."""
-        joined, start, out, atoms = self.joined, 0, [], self.atoms
-        for i in range(1, len(text) + 1):
-            if i == len(text) or text[i - 1 : i + 1] not in joined:
-                atom = text[start:i]
-                ids = atoms.get(atom)
-                if ids is None:
-                    if len(atoms) >= self.LIMIT:
-                        atoms.clear()
-                    ids = atoms[atom] = self.agenda(atom)
-                out += ids
-                start = i
+    def part(self, text: str) -> bytes:
+        """Ids of a part (32 bits each), from its runs of letters and of other characters,
+        where no piece joins two of them."""
+        atoms, joined, out = self.atoms, self.joined, b""
+        runs = _RUNS.findall(text)
+        atom = runs[0]
+        for run in [*runs[1:], ""]:
+            if run and atom[-1] + run[0] in joined:
+                atom += run
+                continue
+            ids = atoms.get(atom)
+            if ids is None:
+                if len(atoms) >= self.ATOMS:
+                    self.atoms = atoms = dict(islice(atoms.items(), len(atoms) // 2, None))
+                ids = atoms[atom] = array("i", self.agenda(atom)).tobytes()
+            out += ids
+            atom = run
         return out
 
     def parts(self, text: str) -> list[str]:
@@ -123,33 +150,37 @@ class AgendaEncoder:
     def encode_batch(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """For each text its ids and the ids in decimal, one space between."""
         split = [self.parts(t) if t else [] for t in texts]
-        needed = set().union(*split)
-        missing = [x for x in needed if x not in self.cache]
-        if len(self.cache) + len(missing) > self.LIMIT:
-            self.cache = {x: self.cache[x] for x in needed if x in self.cache}
         cache = self.cache
+        missing = list(set().union(*[set(w).difference(cache) for w in split]))
+        if len(cache) + len(missing) > self.LIMIT:
+            young = dict(islice(cache.items(), len(cache) // 2, None))
+            young.update((x, cache[x]) for w in split for x in w if x in cache)
+            cache = self.cache = young
         for i in range(0, len(missing), 4096):
             block = missing[i : i + 4096]
-            ours = [self.part(SPACE_MARK + x.replace(" ", SPACE_MARK)) for x in block]
-            for x, a, b in zip(block, ours, self.library.encode(block, num_threads=1)):
-                if x and a != b:
-                    raise ValueError(f"the agenda and the library differ on {x!r}: {a} and {b}")
-                cache[x] = (" ".join(map(str, a)), tuple(a))
-        out = []
+            for x, ids in zip(block, self.library.encode(block, num_threads=1)):
+                ours = self.part(SPACE_MARK + x.replace(" ", SPACE_MARK))
+                if ours != array("i", ids).tobytes() and x:
+                    raise ValueError(f"the agenda and the library differ on {x!r}")
+                cache[x] = ours
+        out, found, decimal = [], cache.__getitem__, self.decimal.__getitem__
         for k, (text, words) in enumerate(zip(texts, split)):
-            found = [cache[x] for x in words]
-            ids: list[int] = []
-            for _, x in found:
-                ids += x
+            ids = array("i", b"".join(map(found, words))).tolist()
             if k % self.check_every == 0 and ids != self.library.encode(text):
                 raise ValueError("the agenda and the library differ on a whole text")
-            out.append((ids, " ".join([s for s, _ in found])))
+            out.append((ids, " ".join(map(decimal, ids))))
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_for(path: str, check_every: int) -> AgendaEncoder:
+    """One encoder for a Python worker, which keeps its parts from task to task."""
+    return AgendaEncoder(path, check_every)
+
+
 def _encode(path: str, check_every: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = AgendaEncoder(path, check_every)
+        encoder = encoder_for(path, check_every)
         end, sha = encoder.end_id, lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             found = encoder.encode_batch(batch.column("text").to_pylist())
