@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_batches, scratch, shuffle_partitions, text_of
-from .vocab_encode import ByteLevelEncoder
+from .vocab_encode import encoder_for
 
 _HEAD = struct.Struct("<4sIIBBHI")
 BLOCK_IDS = 16_384
@@ -97,7 +97,7 @@ def _writer(path: str, end_id: int | None, block_ids: int, chunk_ids: int, unit:
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number, offset = ByteLevelEncoder(path), 0, 0
+        encoder, number, offset = encoder_for(path), 0, 0
         shard, doc_ids, lengths, parts, held = None, [], [], [], 0
 
         def flush() -> pa.RecordBatch:

@@ -12,18 +12,25 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
+from functools import lru_cache
+from itertools import islice
 
-import numpy as np
+#: White space other than space and line feed; then a line feed beside a space.
+_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-_EDGE = re.compile(r"(?:^|\s)\s|\s$")
+
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are written as the machine holds them: little-endian, 32 bits")
 
 
 class ByteLevelEncoder:
     """Ids as little-endian unsigned 32-bit bytes, exactly as
     ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
-    #: Parts kept; beyond it the cache starts again from the batch at hand.
-    LIMIT = 300_000
+    #: Parts kept; beyond it the older half goes, but for the batch at hand.
+    LIMIT = 1_800_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,23 +47,34 @@ class ByteLevelEncoder:
         self.cache: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, text: str) -> list[str] | None:
+        """The text at its spaces, if every part can be encoded by itself."""
+        if not self.by_parts or "\n " in text or " \n" in text or text[:1] == "\n" or text[-1:] == "\n" or _RARE.search(text):
+            return None
+        words = text.split(" ")
+        return None if "" in words or (self.added and self.added.search(text)) else words
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        for text in texts:
-            if not self.by_parts or not text or _EDGE.search(text) or (self.added and self.added.search(text)):
-                parts.append(None)
-            else:
-                first, *rest = text.split(" ")
-                parts.append([first, *[" " + x for x in rest]])
-        needed = set().union(*[p for p in parts if p is not None])
+        """The first part of a text has no space before it and goes to the library."""
+        split = [self._words(t) for t in texts]
+        later = [w[1:] if w else () for w in split]
         cache = self.cache
-        missing = [x for x in needed if x not in cache]
+        missing = list(set().union(*[set(w).difference(cache) for w in later]))
         if len(cache) + len(missing) > self.LIMIT:
-            cache = self.cache = {x: cache[x] for x in needed if x in cache}
+            young = dict(islice(cache.items(), len(cache) // 2, None))
+            young.update((x, cache[x]) for w in later for x in w if x in cache)
+            cache = self.cache = young
         for i in range(0, len(missing), 4096):
             block = missing[i : i + 4096]
-            cache.update(zip(block, self._library(block)))
+            cache.update(zip(block, self._library([" " + x for x in block])))
+        firsts = self._library([t if w is None else w[0] for t, w in zip(texts, split)])
         found = cache.__getitem__
-        return [self._library([t])[0] if p is None else b"".join(map(found, p)) for t, p in zip(texts, parts)]
+        return [first + b"".join(map(found, w)) for first, w in zip(firsts, later)]
+
+
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> ByteLevelEncoder:
+    """One encoder for a Python worker, which keeps its parts from task to task."""
+    return ByteLevelEncoder(path)
