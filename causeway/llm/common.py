@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +43,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and
-    survives lost executors.  The columns and their order stay the same."""
+    survives lost executors.  The columns and their order stay the same.
+
+    Spark removes a job's shuffle files when the driver collects its plan as
+    garbage; asking for that here frees the disk before the next step."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,3 +72,21 @@ def normalised(text: Column) -> Column:
     """Each run of ASCII white space as one space.  The pattern skips single
     spaces, which would be replaced by themselves."""
     return F.regexp_replace(text, rf"[{SPACE}]{{2,}}|[\x09-\x0D]", " ")
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A batch function that gives freed memory back to the system when a task
+    ends: Spark keeps Python workers for the next one."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library: it keeps the memory
+
+    return tidied

@@ -104,15 +104,15 @@ def permuted_lcp(data: str, sa: list[int], limit: int) -> tuple[list[int], list[
     return before, plcp
 
 
-def repeated_windows(pieces: list[bytes], window: int) -> list[np.ndarray]:
-    """For each piece, whether the ``window`` bytes from each place also start
-    at another place in these pieces."""
+def repeated_windows(pieces: list[list[int]], window: int) -> list[np.ndarray]:
+    """For each piece, a list of numbers from 0, whether the ``window`` numbers from
+    each place also start at another place in these pieces."""
+    top = max((max(p) for p in pieces if p), default=0) + 1
     s: list[int] = []
     for p in pieces:
-        s.extend(p)
-        s.append(256)  # no byte: a window with it equals none that lies in a piece
-    data = "\u0100".join([p.decode("latin-1") for p in pieces]) + "\u0100"
-    before, plcp = permuted_lcp(data, suffix_array(s, 256), window)
+        s += p
+        s.append(top)  # in no piece: a window with it equals none that lies in a piece
+    before, plcp = permuted_lcp("".join(map(chr, s)), suffix_array(s, top), window)
     hit = np.zeros(len(s) + 1, bool)
     for i, (j, h) in enumerate(zip(before, plcp)):
         if h >= window:
