@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise, text_of
+from .common import arrow_batches, materialise, text_of, tidy
 
 RUN = 3
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -52,6 +52,7 @@ def winnow(hashes: list[int], run: int) -> list[tuple[int, int, int]]:
 
 
 def _anchors(run: int):
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
@@ -80,6 +81,7 @@ def cut_lines(text: str, starts: list[int], run: int) -> tuple[str, int, int]:
 
 
 def _cutter(run: int):
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -111,7 +113,8 @@ def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col
     null = F.lit(-(2**63))
     keyed = rows.select(F.coalesce("doc_id", null).alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     anchors = materialise(keyed.mapInArrow(_anchors(run), "fp long, doc_id long, first int, version long, windows array<binary>"), "line-anchors")
-    repeated = anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
+    # Written and read again, so that adaptive execution can split the join at a hot fingerprint.
+    repeated = materialise(anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp"), "line-fingerprints")
     windows = anchors.join(repeated, "fp").select("doc_id", "version", F.posexplode("windows").alias("i", "w"), "first")
     windows = windows.select("doc_id", "version", (F.col("first") + F.col("i")).alias("at"), "w")
     place = F.struct("doc_id", "version", "at")
@@ -123,3 +126,30 @@ def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col
     joined = rows.join(marks, same, "left").select("doc_id", "text", "starts")
     schema = "doc_id long, n_lines long, n_removed long, n_runs long, kept_text string, kept_sha256 string"
     return joined.mapInArrow(_cutter(run), schema)
+
+
+ORACLE_SQL = r"""
+WITH every AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos FROM documents
+), norm AS (
+  SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS form FROM every
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM norm WHERE form <> ''
+), windows AS (
+  SELECT doc_id, k, form AS a, lead(form) OVER w AS b, lead(form, 2) OVER w AS c FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), later AS (
+  SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS n FROM windows WHERE c IS NOT NULL) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, k + i AS k FROM later, (VALUES (0), (1), (2)) v(i)
+), counts AS (
+  SELECT g.doc_id, count(*) AS n_removed, count(*) FILTER (WHERE p.k IS NULL) AS n_runs
+  FROM gone g LEFT JOIN gone p ON p.doc_id = g.doc_id AND p.k = g.k - 1 GROUP BY g.doc_id
+), kept AS (
+  SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.pos) AS kept FROM every e
+  LEFT JOIN numbered m ON m.doc_id = e.doc_id AND m.pos = e.pos
+  LEFT JOIN gone g ON g.doc_id = m.doc_id AND g.k = m.k WHERE g.k IS NULL GROUP BY e.doc_id
+)
+SELECT d.doc_id, (SELECT count(*) FROM numbered m WHERE m.doc_id = d.doc_id) AS n_lines,
+       coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

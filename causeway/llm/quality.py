@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, text_of
+from .common import arrow_batches, text_of, tidy
 from .labelled import fit_logistic, fold, logistic, training_sample
 
 PER_CLASS = 3000
@@ -194,6 +194,7 @@ def prior_model() -> LineField:
     return LineField(unary, np.array([[0.5, -0.5], [-0.5, 0.5]]), np.array([-1.0, 0.0, 0.0]))
 
 
+@tidy
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [text_lines(t) for t in batch.column("text").to_pylist()]
@@ -216,6 +217,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
 
 
 def _score(model: LineField, threshold: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [text_lines(t) for t in batch.column("text").to_pylist()]
@@ -244,6 +246,7 @@ def score_quality(docs: DataFrame, model: LineField, threshold: float = 0.3, id_
 def _accept(model: LineField, threshold: float):
     score = _score(model, threshold)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.num_columns - 1)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, text_of
+from .common import arrow_batches, text_of, tidy
 from .labelled import fit_logistic, fold, logistic, training_sample
 
 # Words of the grammar, in four languages.
@@ -229,6 +229,7 @@ def _forms(word: str) -> list[str]:
     return [word, *[word[:n] + "-" for n in PREFIXES if len(word) >= n]]
 
 
+@tidy
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen = set()
@@ -243,6 +244,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(forms: set[str]):
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
@@ -278,6 +280,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
 
 def _features(lexicon: Lexicon):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for batch in batches:
@@ -305,6 +308,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
 
 
 def _score(lexicon: Lexicon, threshold: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         w = np.array(lexicon.weights)
