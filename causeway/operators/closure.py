@@ -33,6 +33,7 @@ def reach(edges: DataFrame, seeds: DataFrame, key: list[str]) -> DataFrame:
     ``edges(key, src, dst)``, ``seeds(key, ..., node)``: further columns of
     ``seeds`` name the walker, and the result keeps them."""
     walker = [c for c in seeds.columns if c != "node"]
+    edges = cut(edges.select(*key, "src", "dst"))  # each level reads them again
     if edges.limit(DOUBLING_EDGES + 1).count() <= DOUBLING_EDGES:
         step = seeds.join(closure(edges, key).withColumnRenamed("src", "node"), [*key, "node"])
         return seeds.unionByName(step.select(*walker, F.col("dst").alias("node"))).distinct()
