@@ -9,24 +9,53 @@ them.  Trees are loaded in bulk and joined with each other or with themselves.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 
-GROUPS = 256
+LEAST_GROUPS, MOST_GROUPS = 256, 65_536
 FANOUT = 16
 
 
+def groups_for(n: int) -> int:
+    """Groups for a set of ``n``: a power of two from n, so that elements that two
+    sets don't share seldom meet in a group."""
+    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (n - 1).bit_length()))
+
+
 def count_vector(hashes: np.ndarray) -> bytes:
-    """Counts by group in as few bytes as they need (1, 2 or 4 for each)."""
-    counts = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS)
+    """Counts by group, in 1, 2 or 4 bytes each, compressed; the first byte tells
+    their width, the next one the logarithm of the number of groups."""
+    groups = groups_for(len(hashes))
+    counts = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups)
     top = counts.max()
-    return counts.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32).tobytes()
+    width = 1 if top < 256 else 2 if top < 65536 else 4
+    return pack(counts, width)
+
+
+def pack(counts: np.ndarray, width: int) -> bytes:
+    return bytes([width, len(counts).bit_length() - 1]) + zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
+
+
+def groups_of(packed: bytes) -> int:
+    return 1 << packed[1]
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(memoryview(packed)[2:]), f"<u{packed[0]}")
+
+
+def fold(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Counts (in the last axis) by fewer groups; both numbers are powers of two."""
+    return counts.reshape(*counts.shape[:-1], -1, groups).sum(axis=-2) if counts.shape[-1] > groups else counts
 
 
 def vectors(packed: list[bytes]) -> np.ndarray:
-    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
-    return np.array([np.frombuffer(b, kinds[len(b)]) for b in packed], dtype=np.int32).reshape(-1, GROUPS)
+    """The points, all by as many groups as the one with the fewest has."""
+    found = [unpack(b).astype(np.int32) for b in packed]
+    least = min(map(len, found), default=LEAST_GROUPS)
+    return np.array([fold(v, least) for v in found]).reshape(-1, least)
 
 
 def least_overlap(a, b, percent: int):
@@ -62,9 +91,15 @@ class CountTree:
     def _parent(nodes: list[Node]) -> Node:
         return Node(np.max([n.top for n in nodes], axis=0), min(n.least for n in nodes), max(n.most for n in nodes), None, nodes)
 
+    def folded(self, groups: int) -> "CountTree":
+        return self if self.points.shape[1] == groups else CountTree(fold(self.points, groups), self.sizes)
+
     def pairs(self, other: "CountTree", percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows of both trees whose bound reaches the least overlap.  Joined with
         itself, each pair comes once."""
+        groups = min(self.points.shape[1], other.points.shape[1])
+        if self.points.shape[1] != other.points.shape[1]:
+            return self.folded(groups).pairs(other.folded(groups), percent)
         left, right = [], []
         stack = [(self.root, other.root)] if self.root and other.root else []
         while stack:
@@ -92,3 +127,22 @@ class CountTree:
                 stack += [(a, y) for y in b.below]
         empty = np.zeros(0, int)
         return np.concatenate([empty, *left]), np.concatenate([empty, *right])
+
+
+def pairs_among(packed: list[bytes], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets whose bound reaches the least overlap: a tree for each number of
+    groups, joined with itself and with the next one.  Sets further apart
+    differ too much in size."""
+    by_groups: dict[int, list[int]] = {}
+    for i, b in enumerate(packed):
+        by_groups.setdefault(groups_of(b), []).append(i)
+    trees = {g: (np.array(rows), CountTree(vectors([packed[i] for i in rows]), sizes[rows])) for g, rows in by_groups.items()}
+    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
+    for g, (rows, tree) in trees.items():
+        for other in (g, 2 * g):
+            if other in trees:
+                more, second = trees[other]
+                i, j = tree.pairs(second, percent)
+                left.append(rows[i])
+                right.append(more[j])
+    return np.concatenate(left), np.concatenate(right)

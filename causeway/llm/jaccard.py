@@ -10,13 +10,15 @@ Documents with equal shingle sets form a class; classes are joined.
    and stored as differences.  Sets that share such a key form a block; blocks
    with the same members count once.
 3. Blocks of up to ``SMALL`` sets are indexed by an R-tree over count vectors
-   and joined with themselves; in larger ones, each set is first paired with
-   the smallest of the block only.  Pairs whose bound of the overlap is large
-   enough are verified on the texts' shingles.  Links give components.
-4. Large blocks that hold sets of several components are joined completely:
-   their sets, in order of component and size, are cut into leaves; an R-tree
-   over the leaves finds pairs of leaves that may hold a link between
-   components, and leaves are joined with each other.  No pair is dropped, and
+   and joined with themselves, and each set is paired with the first of those
+   whose bound of the overlap is large enough (in blocks of up to ``TINY`` with
+   all of those); in larger blocks, with the first of the block.  Pairs are verified on the texts' shingles.  Links give
+   components.
+4. Other blocks that hold sets of several components are joined completely,
+   small ones by their R-tree.  The sets of large ones, in order of component
+   and size, are cut into leaves; the tree over the leaves finds pairs of
+   leaves that may hold a link between components, and leaves are joined with
+   each other.  No pair is dropped, and
    pairs inside a component need no check, as they change nothing.
 
 Results are exact up to collisions of 64-bit shingle hashes within a pair of
@@ -34,25 +36,27 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise, shuffle_partitions, text_of
+from .common import arrow_batches, materialise, shuffle_partitions, text_of, tidy
 from .components import components
-from .count_tree import CountTree, count_vector, least_overlap, vectors
+from .count_tree import CountTree, count_vector, fold, groups_for, least_overlap, pack, pairs_among, unpack, vectors
 from .shingles import WORDS, shingle_hashes, shingle_set
 
 PERCENT = 75
-SMALL = 128
+#: Blocks of up to TINY sets are joined completely at once, up to SMALL in one task.
+TINY, SMALL = 4, 128
 LEAF = 64
 #: Frequent shingles that the order knows: their number bounds what is broadcast.
 FREQUENT = 65_536
 #: A shingle is reported by a task when that many of its documents hold it.
 LOCAL_FREQUENT = 4
 #: Documents whose shingles a task counts together.
-COUNTED = 4096
+COUNTED = 2048
 
 
 def _profile(size: int, seed: int):
     """Rows of documents (with key null) and of frequent shingles (with doc_id null)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         schema = ["doc_id", "version", "class", "check", "n", "vector", "key", "count"]
@@ -125,6 +129,7 @@ def prefix(h: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int)
 
 
 def _postings(size: int, seed: int, percent: int, parts: int, frequent: np.ndarray, rank: np.ndarray):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys: list[np.ndarray] = []
@@ -155,7 +160,7 @@ def _postings(size: int, seed: int, percent: int, parts: int, frequent: np.ndarr
                 keys.append(p)
                 sets.append(np.full(len(p), name, np.int64))
                 held += len(p)
-            if held > 4_000_000:
+            if held > 1_000_000:
                 yield flush()
         if held:
             yield flush()
@@ -163,6 +168,7 @@ def _postings(size: int, seed: int, percent: int, parts: int, frequent: np.ndarr
     return run
 
 
+@tidy
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets that share a key: ``block`` names the members, ``m`` counts them."""
     found = [unpack_postings(b) for batch in batches for b in batch.column("postings").to_pylist()]
@@ -195,16 +201,11 @@ def _pair_batch(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _join_blocks(percent: int):
-    """Pairs of each block, which comes in rows that follow each other."""
-
-    def join(rows: list[tuple]) -> pa.RecordBatch:
-        names = np.array([r[1] for r in rows])
-        sizes = np.array([r[2] for r in rows])
-        tree = CountTree(vectors([r[3] for r in rows]), sizes)
-        i, j = tree.pairs(tree, percent)
-        return _pair_batch(names[i], names[j])
+def _by_block(join):
+    """A batch function that gives ``join`` the rows of one block after the other;
+    they follow each other."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[pa.RecordBatch] = []
@@ -215,7 +216,7 @@ def _join_blocks(percent: int):
                     held = []
                 held.append(row)
             if out:
-                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(map(len, out)) else out[0]
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
                 out = []
         if held:
             yield join(held)
@@ -223,12 +224,49 @@ def _join_blocks(percent: int):
     return run
 
 
+def _join_blocks(percent: int):
+    """For each set of a block the first of those that it may resemble."""
+
+    def join(rows: list[tuple]) -> pa.RecordBatch:
+        names = np.array([r[1] for r in rows])
+        i, j = pairs_among([r[3] for r in rows], np.array([r[2] for r in rows]), percent)
+        if len(rows) <= TINY:
+            return _pair_batch(names[i], names[j])
+        # Of each set's partners the one with the smallest name: blocks with
+        # almost the same members ask for the same pairs.
+        i, j = np.where(names[i] < names[j], i, j), np.where(names[i] < names[j], j, i)
+        order = np.lexsort((names[i], j))
+        i, j = i[order], j[order]
+        first = np.flatnonzero(np.append(True, j[1:] != j[:-1])) if len(j) else j
+        return _pair_batch(names[i[first]], names[j[first]])
+
+    return _by_block(join)
+
+
+def _join_mixed(percent: int):
+    """All pairs of a block that may be links between components."""
+
+    def join(rows: list[tuple]) -> pa.RecordBatch:
+        names, groups = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        i, j = pairs_among([r[4] for r in rows], np.array([r[3] for r in rows]), percent)
+        differ = groups[i] != groups[j]
+        return _pair_batch(names[i[differ]], names[j[differ]])
+
+    return _by_block(join)
+
+
 def _bound(percent: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            shared = np.minimum(vectors(batch.column("va").to_pylist()), vectors(batch.column("vb").to_pylist())).sum(axis=1)
+            shared = []
+            for a, b in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist()):
+                a, b = unpack(a), unpack(b)
+                least = min(len(a), len(b))
+                shared.append(int(np.minimum(fold(a.astype(np.int64), least), fold(b.astype(np.int64), least)).sum()))
+            shared = np.array(shared)
             keep = shared >= least_overlap(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
             yield _pair_batch(batch.column("a").to_numpy()[keep], batch.column("b").to_numpy()[keep])
 
@@ -236,6 +274,7 @@ def _bound(percent: int):
 
 
 def _verify(size: int, percent: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, memory = None, None
         for batch in batches:
@@ -253,11 +292,12 @@ def _verify(size: int, percent: int):
     return run
 
 
+@tidy
 def _cut_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaves of up to LEAF rows of one block: their node and their rows."""
 
     def leaf(rows: list[tuple]) -> pa.RecordBatch:
-        top = vectors([r[4] for r in rows]).max(axis=0).astype(np.uint32).tobytes()
+        top = pack(vectors([r[4] for r in rows]).max(axis=0), 4)
         kinds = {"block": pa.int64(), "leaf": pa.int64(), "least": pa.int64(), "most": pa.int64(), "low": pa.int64(), "high": pa.int64(), "top": pa.binary()}
         name = xxhash.xxh3_64_intdigest(struct.pack("<qq", rows[0][0], rows[0][1])) - (1 << 63)
         one = [rows[0][0], name, min(r[3] for r in rows), max(r[3] for r in rows), min(r[2] for r in rows), max(r[2] for r in rows), top]
@@ -269,7 +309,7 @@ def _cut_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if held and (row[0] != held[0][0] or len(held) == LEAF):
+            if held and (row[0] != held[0][0] or len(held) == LEAF or groups_for(row[3]) != groups_for(held[0][3])):
                 yield leaf(held)
                 held = []
             held.append(row)
@@ -285,27 +325,29 @@ def _join_nodes(percent: int):
         names = nodes.column("leaf").to_numpy()
         low, high = nodes.column("low").to_numpy(), nodes.column("high").to_numpy()
         least, most = nodes.column("least").to_numpy(), nodes.column("most").to_numpy()
-        tops = vectors(nodes.column("top").to_pylist())
+        tops = [unpack(b).astype(np.int64) for b in nodes.column("top").to_pylist()]
         left, right = [], []
         order = np.argsort(least, kind="stable")
         for k, i in enumerate(order):
             others = order[k:]
             # In order of their least size: the rest is too large once it passes this.
             others = others[: np.searchsorted(least[others], most[i] * 100 // percent, side="right")]
-            differ = ~((low[others] == high[i]) & (high[others] == low[i]) & (low[i] == high[i]))
-            others = others[differ]
-            for s in range(0, len(others), 1024):
-                some = others[s : s + 1024]
-                bound = np.minimum(tops[some], tops[i]).sum(axis=1)
-                some = some[bound >= least_overlap(least[some], least[i], percent)]
-                left += [names[i]] * len(some)
-                right += names[some].tolist()
+            one_component = low[i] == high[i]
+            for j in others.tolist():
+                if one_component and low[j] == high[j] == low[i]:
+                    continue
+                groups = min(len(tops[i]), len(tops[j]))
+                bound = np.minimum(fold(tops[i], groups), fold(tops[j], groups)).sum()
+                if bound >= least_overlap(least[j], least[i], percent):
+                    left.append(names[i])
+                    right.append(names[j])
         return pa.table({"x": pa.array(left, pa.int64()), "y": pa.array(right, pa.int64())})
 
     return run
 
 
 def _join_leaves(percent: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
@@ -385,26 +427,34 @@ class _Join:
         return materialise(both.mapInArrow(_verify(self.size, self.percent), "a long, b long"), "links")
 
     def rest(self, links: DataFrame, labels: DataFrame) -> DataFrame | None:
-        """Candidate pairs between components in large blocks; None without any."""
-        large = self.blocks.filter(F.col("m") > SMALL).select("block", "class").distinct()
-        placed = large.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        """Candidate pairs between components that share a block; None without any."""
+        members = self.blocks.filter(F.col("m") > TINY).distinct()
+        placed = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         placed = materialise(placed, "placed")
         mixed = placed.groupBy("block").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("block")
         mixed = materialise(mixed, "mixed-blocks")
         if mixed.isEmpty():
             return None
-        rows = placed.join(mixed, "block").join(self.classes.select("class", "n", "vector"), "class").select("block", "class", "component", "n", "vector")
-        rows = rows.repartitionByRange(shuffle_partitions(self.spark), "block", "component", "n", "class").sortWithinPartitions("block", "component", "n", "class")
+        columns = ["block", "class", "component", "n", "vector"]
+        rows = placed.join(mixed, "block").join(self.classes.select("class", "n", "vector"), "class")
+        parts = shuffle_partitions(self.spark)
+        small = rows.filter(F.col("m") <= SMALL).select(*columns).repartition(parts, "block").sortWithinPartitions("block", "class")
+        cross = small.mapInArrow(_join_mixed(self.percent), "a long, b long")
+        if not placed.filter(F.col("m") > SMALL).join(mixed, "block", "left_semi").isEmpty():
+            cross = cross.unionByName(self.across_leaves(rows.filter(F.col("m") > SMALL).select(*columns)))
+        cross = materialise(cross.distinct(), "cross-pairs")
+        return cross.join(links, ["a", "b"], "left_anti")
+
+    def across_leaves(self, rows: DataFrame) -> DataFrame:
+        """Candidate pairs between components in large blocks."""
+        order = ["block", "component", "n", "class"]
+        rows = rows.repartitionByRange(shuffle_partitions(self.spark), *order).sortWithinPartitions(*order)
         schema = "block long, leaf long, least long, most long, low long, high long, top binary, classes array<long>, components array<long>, sizes array<long>, points array<binary>"
         leaves = materialise(rows.mapInArrow(_cut_leaves, schema), "leaves")
         nodes = leaves.select("block", "leaf", "least", "most", "low", "high", "top")
         found = nodes.groupBy("block").applyInArrow(_join_nodes(self.percent), "x long, y long")
         side = lambda k: leaves.select(F.col("leaf").alias(k), F.col("classes").alias("c" + k), F.col("components").alias("g" + k), F.col("sizes").alias("s" + k), F.col("points").alias("p" + k))
-        arrow_batches(self.spark, 64)
-        cross = found.join(side("x"), "x").join(side("y"), "y").mapInArrow(_join_leaves(self.percent), "a long, b long").distinct()
-        cross = materialise(cross, "cross-pairs")
-        arrow_batches(self.spark)
-        return cross.join(links, ["a", "b"], "left_anti")
+        return found.join(side("x"), "x").join(side("y"), "y").mapInArrow(_join_leaves(self.percent), "a long, b long")
 
     def run(self) -> DataFrame:
         self.profile()
@@ -448,3 +498,23 @@ def near_dedup(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_co
     found = jaccard_components(docs, size, percent, id_col, text_col)
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
     return docs.join(stay, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT p.x, p.y FROM (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+  ) p JOIN n i ON i.doc_id = p.x JOIN n j ON j.doc_id = p.y WHERE 100 * p.both >= 75 * (i.n + j.n - p.both)
+), c(x, y) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT c.x, l.y FROM c JOIN l ON l.x = c.y
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id FROM documents d LEFT JOIN n USING (doc_id)
+JOIN (SELECT x AS doc_id, min(y) AS component_id FROM c GROUP BY x) r USING (doc_id)
+"""

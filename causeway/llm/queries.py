@@ -76,5 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_jaccard_join": jaccard.ORACLE_SQL,
+    "op7_line_dedup": line_dedup.ORACLE_SQL,
     "op10_nearest": nearest.ORACLE_SQL,
 }

@@ -11,7 +11,7 @@ _BASE = 0x9E3779B97F4A7C15
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _powers: list[np.ndarray] = []
 #: Bytes of texts hashed at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 
 def words_of(text: str) -> list[bytes]:
