@@ -150,8 +150,8 @@ def _postings(size: int, seed: int, percent: int, parts: int, frequent: np.ndarr
 
         for batch in batches:
             for h in shingle_hashes(batch.column("text").to_pylist(), size):
-                if len(h) < 4:
-                    continue  # sets of three or fewer reach 75 % only when equal
+                if 100 * len(h) < percent * (len(h) + 1):
+                    continue  # so few that one more element is too many: equal sets only
                 name = xxhash.xxh3_64_intdigest(h.tobytes(), seed) - (1 << 63)
                 if name in seen:
                     continue

@@ -128,6 +128,7 @@ def test_near_copies(spark, monkeypatch, small):
     for _ in range(25):
         own = [f"u{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 12))]
         rows.append(" ".join(own + passage))
+    rows += ["t1 t2 t3 t4 t5 t6 t7", "t1 t2 t3 t4 t5 t6 t7 t8", "v1 v2 v3 v4 v5 v6", "v1 v2 v3 v4 v5 v6 v7"]  # 3 of 4, 2 of 3
     rng.shuffle(rows)
     rows = list(enumerate(rows)) + [(900, None), (901, ""), (902, " \n"), (None, rows[3]), (903, "one two"), (904, "ONE  Two"), (7, rows[8])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
