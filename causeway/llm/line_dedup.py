@@ -9,6 +9,9 @@ joined with its first occurrence in the table, and windows that aren't the
 first are repeats.  Lines that a repeated window covers are deleted, so of any
 run of at least ``run`` lines that occurs again, the first occurrence stays; a
 run that overlaps its own first occurrence keeps what lies before the overlap.
+
+Shorter runs count too where the caller sets ``words``: those of fewer lines
+that hold so many words are windows of their own, and are their own fingerprint.
 """
 
 from __future__ import annotations
@@ -51,30 +54,41 @@ def winnow(hashes: list[int], run: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _anchors(run: int):
+def passages(lengths: list[int], run: int, words: int | None) -> list[tuple[int, int]]:
+    """(position, lines) of each run of fewer than ``run`` lines with ``words`` words."""
+    if words is None:
+        return []
+    return [(i, r) for r in range(1, run) for i in range(len(lengths) - r + 1) if sum(lengths[i : i + r]) >= words]
+
+
+def _anchors(run: int, words: int | None):
     @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for doc, version, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "version", "text")]):
-                digests = [xxhash.xxh3_128_digest(x) for _, x in lines_of(text)]
+                lines = lines_of(text)
+                digests = [xxhash.xxh3_128_digest(x) for _, x in lines]
                 hashes = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
-                for p, first, last in winnow(hashes, run):
-                    cols[0].append(hashes[p])
-                    cols[1].append(doc)
-                    cols[2].append(first)
-                    cols[3].append(version)
-                    cols[4].append([xxhash.xxh3_128_digest(b"".join(digests[i : i + run])) for i in range(first, last + 1)])
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.binary()))], ["fp", "doc_id", "first", "version", "windows"])
+                window = lambda i, r: xxhash.xxh3_128_digest(b"".join(digests[i : i + r]))
+                found = [(hashes[p], first, run, [window(i, run) for i in range(first, last + 1)]) for p, first, last in winnow(hashes, run)]
+                for i, r in passages([x.count(" ") + 1 for _, x in lines] if words is not None else [], run, words):
+                    w = window(i, r)
+                    found.append((int.from_bytes(w[:8], "little", signed=True), i, r, [w]))
+                for fp, first, span, windows in found:
+                    for col, value in zip(cols, (fp, doc, first, version, span, windows)):
+                        col.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["fp", "doc_id", "first", "version", "span", "windows"])
 
     return scan
 
 
-def cut_lines(text: str, starts: list[int], run: int) -> tuple[str, int, int]:
-    """The text without the lines that windows at ``starts`` cover, the number of
-    lines cut and of runs they form."""
+def cut_lines(text: str, starts: list[int], run: int, short: list[tuple[int, int]] = []) -> tuple[str, int, int]:
+    """The text without the lines that windows at ``starts`` and the ``short``
+    runs (position, lines) cover, the number of lines cut and of runs they form."""
     lines = lines_of(text)
-    gone = {j for s in starts for j in range(s, s + run)}
+    gone = {j for s, r in [*((s, run) for s in starts), *short] for j in range(s, s + r)}
     runs = sum(1 for j in gone if j - 1 not in gone)
     numbers = {lines[j][0] for j in gone}
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in numbers), len(gone), runs
@@ -86,7 +100,8 @@ def _cutter(run: int):
         for batch in batches:
             out = []
             for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
-                kept, lines, runs = cut_lines(text, starts or [], run)
+                found = [(x["at"], x["span"]) for x in starts or []]
+                kept, lines, runs = cut_lines(text, [], run, found)
                 out.append((len(lines_of(text)), lines, runs, kept, hashlib.sha256(kept.encode()).hexdigest()))
             names = ["n_lines", "n_removed", "n_runs", "kept_text", "kept_sha256"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -96,11 +111,13 @@ def _cutter(run: int):
     return cut
 
 
-def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """``doc_id, n_lines, n_removed, n_runs, kept_text, kept_sha256`` of every row.
 
     A line is removed when ``run`` consecutive lines that cover it also start at
-    an earlier place: a smaller id, or the same id and an earlier line.  Lines
+    an earlier place: a smaller id, or the same id and an earlier line.  With
+    ``words``, so is one that a run of fewer lines covers which holds at least
+    so many words and also starts at an earlier place.  Lines
     are compared in the form of :func:`lines_of`; blank lines count neither as
     lines nor as text to compare, and stay.  A null or empty text has no lines.
     Rows that repeat an id are versions in the order of their texts' hashes, and
@@ -112,15 +129,15 @@ def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     null = F.lit(-(2**63))
     keyed = rows.select(F.coalesce("doc_id", null).alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    anchors = materialise(keyed.mapInArrow(_anchors(run), "fp long, doc_id long, first int, version long, windows array<binary>"), "line-anchors")
+    anchors = materialise(keyed.mapInArrow(_anchors(run, words), "fp long, doc_id long, first int, version long, span int, windows array<binary>"), "line-anchors")
     # Written and read again, so that adaptive execution can split the join at a hot fingerprint.
     repeated = materialise(anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp"), "line-fingerprints")
-    windows = anchors.join(repeated, "fp").select("doc_id", "version", F.posexplode("windows").alias("i", "w"), "first")
-    windows = windows.select("doc_id", "version", (F.col("first") + F.col("i")).alias("at"), "w")
+    windows = anchors.join(repeated, "fp").select("doc_id", "version", F.posexplode("windows").alias("i", "w"), "first", "span")
+    windows = windows.select("doc_id", "version", (F.col("first") + F.col("i")).alias("at"), "span", "w")
     place = F.struct("doc_id", "version", "at")
     earliest = windows.groupBy("w").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = windows.join(earliest, "w").filter(place > F.col("origin"))
-    marks = later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    marks = later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("at", "span"))).alias("starts"))
     marks = marks.withColumnsRenamed({"doc_id": "marked", "version": "of_version"})
     same = (F.coalesce("doc_id", null) == F.col("marked")) & (F.xxhash64("text") == F.col("of_version"))
     joined = rows.join(marks, same, "left").select("doc_id", "text", "starts")

@@ -55,3 +55,24 @@ def test_real_and_odd_rows(spark, sf_dir, odd_docs, no_docs):
     assert all(r["n_removed"] == 0 for r in line_dedup(odd_docs).collect())
     repeated = spark.createDataFrame([(None, "a\nb\nc"), (1, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (1, "q")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["kept_text"]) for r in line_dedup(repeated).collect()) == [(0, "a\nb\nc"), (1, "d"), (1, "d"), (1, "q")]
+
+
+def test_passages_of_fewer_lines(spark):
+    """Runs of one and two lines count where they hold enough words, and only there."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    long, half, rest, short = words("a", 50), words("b", 25), words("c", 25), words("d", 49)
+    rows = [
+        (1, "\n".join([long, "x", half, rest, "y", short])),
+        (2, "\n".join(["p", long.replace(" ", "  "), "q", short])),
+        (3, "\n".join(["r", half, "", rest, "s"])),
+        (4, "\n".join([half, "t", rest])),  # neither half is long enough
+        (5, "\n".join([long, "u", long])),
+        (6, "\n".join(["x", half, rest])),  # three lines
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup(docs, words=50).collect()}
+    assert [got[i]["n_removed"] for i in range(1, 7)] == [0, 1, 2, 0, 2, 3]
+    assert got[2]["kept_text"] == "\n".join(["p", "q", short]) and got[3]["kept_text"] == "r\n\ns" and got[5]["kept_text"] == "u"
+    assert got[5]["n_runs"] == 2 and got[6]["kept_text"] == ""
+    plain = sorted(tuple(r) for r in line_dedup(docs).collect())
+    assert plain == brute(rows, 3) and [r[2] for r in plain] == [0, 0, 0, 0, 0, 3]
