@@ -74,6 +74,26 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, rf"[{SPACE}]{{2,}}|[\x09-\x0D]", " ")
 
 
+def keep_rows(docs: DataFrame, id_: Column, mark: Column, kept: DataFrame, single: bool) -> DataFrame:
+    """The rows of ``docs`` whose id and text's mark are in ``kept(kept_id, mark)``,
+    which has a row for each of them; with ``single`` one of those that share both."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = kept.groupBy("kept_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.select(F.struct(*columns).alias("row"), id_.alias("own_id"), mark.alias("own_mark"))
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_mark") == F.col("mark"))
+    out = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    if not single:
+        return rows.join(kept, same, "left_semi").select(*out)
+    kept = materialise(kept, "kept-rows")
+    repeated = kept.filter("n > 1")
+    if repeated.isEmpty():
+        return rows.join(kept, same, "left_semi").select(*out)
+    # Written first, so that adaptive execution can split the join and that copies are combined before the shuffle.
+    several = materialise(rows.join(repeated, same, "left_semi"), "repeated-rows")
+    one = several.groupBy("own_id", "own_mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rows.join(kept.filter("n = 1"), same, "left_semi").select(*out).unionByName(one.select(*out))
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """A batch function that gives freed memory back to the system when a task
     ends: Spark keeps Python workers for the next one."""

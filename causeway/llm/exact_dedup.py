@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, normalised, text_of
+from .common import keep_rows, materialise, normalised, text_of
 
 
 def content_hash(text: Column) -> Column:
@@ -65,12 +65,12 @@ def exact_groups(
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", single: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts
-    the row with the smallest id.  Ids are taken as unique; of rows that repeat
-    both id and text, all stay."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    the row with the smallest id.  Rows that repeat an id are judged by their own
+    texts.  Of rows that repeat both id and text all stay, or with ``single`` one."""
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("mark"))
+    return keep_rows(docs, F.col(id_col), F.unhex(F.sha2(normalised(text_of(text_col)), 256)), kept, single)
 
 
 ORACLE_SQL = r"""

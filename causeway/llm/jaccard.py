@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise, shuffle_partitions, text_of, tidy
+from .common import arrow_batches, keep_rows, materialise, shuffle_partitions, text_of, tidy
 from .components import components
 from .count_tree import CountTree, count_vector, fold, groups_for, least_overlap, pack, pairs_among, unpack, vectors
 from .shingles import WORDS, shingle_hashes, shingle_set
@@ -457,6 +457,7 @@ class _Join:
         return found.join(side("x"), "x").join(side("y"), "y").mapInArrow(_join_leaves(self.percent), "a long, b long")
 
     def run(self) -> DataFrame:
+        """Each row's version and component beside what is asked for."""
         self.profile()
         self.repeats = not self.docs.groupBy("doc_id", "version").count().filter("count > 1").isEmpty()
         self.find_blocks()
@@ -471,10 +472,10 @@ class _Join:
         least = self.docs.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
         labelled = least.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-        named = materialise(labelled.join(smallest, "component").select("class", "component_id"), "shingle-components")
-        out = self.docs.select("doc_id", "class", F.col("n").alias("n_shingles")).join(named, "class", "left")
+        named = materialise(labelled.join(smallest, "component").select("class", "component", "component_id"), "shingle-components")
+        out = self.docs.select("doc_id", "version", "class", F.col("n").alias("n_shingles")).join(named, "class", "left")
         own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-        return out.select("doc_id", "n_shingles", own.alias("component_id"))
+        return out.select("doc_id", "version", "n_shingles", "component", own.alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -488,16 +489,24 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     smallest id that isn't null among all rows of a component.  An empty table
     gives no rows; further columns are ignored.
     """
-    return _Join(docs, size, percent, id_col, text_col).run()
+    return _Join(docs, size, percent, id_col, text_col).run().select("doc_id", "n_shingles", "component_id")
 
 
-def near_dedup(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", single: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component
     the rows with its smallest id.  A row with a null id stays only where its
-    component has no other id."""
-    found = jaccard_components(docs, size, percent, id_col, text_col)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    component has no other id.  Rows that repeat an id are judged by their own
+    texts.  With ``single`` one row stays of each component, and of empty texts
+    one for each id and text."""
+    found = _Join(docs, size, percent, id_col, text_col).run()
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if single:
+        kept = materialise(kept, "kept-members")
+        first = kept.filter("n_shingles > 0").groupBy("component").agg(F.min("version").alias("version"))
+        others = kept.join(first, ["component", "version"], "left_semi").select(kept.columns)
+        kept = others.unionByName(kept.filter("n_shingles = 0"))
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("version").alias("mark"))
+    return keep_rows(docs, F.col(id_col).cast("long"), F.xxhash64(text_of(text_col)), kept, single)
 
 
 ORACLE_SQL = r"""

@@ -25,13 +25,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id."""
-    return exact_dedup.exact_dedup(docs).select(*COLUMNS)
+    """Of equal texts one row, with the smallest id."""
+    return exact_dedup.exact_dedup(docs, single=True).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id."""
-    return jaccard.near_dedup(docs).select(*COLUMNS)
+    """Of each component of similar documents one row, with the smallest id."""
+    return jaccard.near_dedup(docs, single=True).select(*COLUMNS)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
