@@ -158,8 +158,9 @@ def share_features(shares) -> np.ndarray:
     return np.hstack([np.log(s / (1 - s)), s])
 
 
-def train(docs: list[np.ndarray], lengths: list[np.ndarray], y: np.ndarray, rounds: int = 120, rate: float = 0.15, l2: float = 1e-3) -> LineField:
-    """Fit by gradient steps with running moments; deterministic."""
+def train(docs: list[np.ndarray], lengths: list[np.ndarray], y: np.ndarray, rounds: int = 120, rate: float = 0.15, l2: float = 1e-3, weight: np.ndarray | None = None) -> LineField:
+    """Fit by gradient steps with running moments; deterministic.  The line field
+    balances the classes; ``weight`` gives the document scores their true shares."""
     model = LineField(np.zeros(WIDTH), np.array([[1.0, -1.0], [-1.0, 1.0]]), np.zeros(3))
     model.unary[-1] = -1.0
     x = np.concatenate(docs)
@@ -181,7 +182,7 @@ def train(docs: list[np.ndarray], lengths: list[np.ndarray], y: np.ndarray, roun
         model.unary = model.unary + move[:WIDTH]
         model.moves = model.moves + move[WIDTH:].reshape(2, 2)
     p, _, _ = model.marginals(docs)
-    model.document = fit_logistic(share_features([bad_share(a, n) for a, n in zip(p, lengths)]), y, 0.1)
+    model.document = fit_logistic(share_features([bad_share(a, n) for a, n in zip(p, lengths)]), y, 0.1, weight=weight)
     return model
 
 
@@ -199,21 +200,21 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [text_lines(t) for t in batch.column("text").to_pylist()]
         packed = [pickle.dumps((np.packbits(x.astype(bool), axis=1), n)) for x, n in found]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary()), batch.column("y")], ["id", "lines", "y"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary()), batch.column("y"), batch.column("weight")], ["id", "lines", "y", "weight"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> LineField:
-    """A model from at most ``per_class`` training rows of either class, whose
-    line marks (a few bits a line) go to the driver."""
+    """A model from at most ``per_class`` training rows of either class, weighted
+    to the shares of all labels, whose line marks (a few bits a line) go to the driver."""
     arrow_batches(docs.sparkSession)
     sample = training_sample(docs, labels, "quality", per_class, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = sample.select("id", "text", "y").mapInArrow(_collect, f"id {kind}, lines binary, y int").orderBy("id", "lines").collect()
+    rows = sample.select("id", "text", "y", "weight").mapInArrow(_collect, f"id {kind}, lines binary, y int, weight double").orderBy("id", "lines").collect()
     y = np.array([r["y"] for r in rows], float)
     if len(set(y.tolist())) < 2:
         return prior_model()
     lines = [pickle.loads(r["lines"]) for r in rows]
-    return train([np.unpackbits(x, axis=1, count=WIDTH).astype(np.float32) for x, _ in lines], [n for _, n in lines], y)
+    return train([np.unpackbits(x, axis=1, count=WIDTH).astype(np.float32) for x, _ in lines], [n for _, n in lines], y, weight=np.array([r["weight"] for r in rows]))
 
 
 def _score(model: LineField, threshold: float):

@@ -257,7 +257,11 @@ def _counts(forms: set[str]):
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Words and stems from a bounded sample with columns ``text`` and ``y``."""
+    """Words and stems from a bounded sample with columns ``text``, ``y`` and
+    ``weight``.  Counts in clean texts are brought to the rate at which toxic
+    ones were sampled."""
+    weights = {r["y"]: r["w"] for r in sample.groupBy("y").agg(F.max("weight").alias("w")).collect()}
+    rate = weights[0] / weights[1]
     toxic, clean = sample.filter("y = 1").select("text").distinct(), sample.filter("y = 0").select("text")
     contexts = toxic.mapInArrow(_contexts, "form string, context long").distinct().groupBy("form").count()
     rows = contexts.filter(F.col("count") >= LEAST_CONTEXTS).orderBy(F.desc("count"), "form").limit(MOST_ENTRIES).collect()
@@ -265,7 +269,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     counted = clean.mapInArrow(_counts(set(positive)), "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).collect()
     negative = defaultdict(int, {r["form"]: r["n"] for r in counted})
     n_clean = max(1, clean.count())
-    weight = {f: np.log((c + 0.5) / (negative[f] * 3 + 0.5)) for f, c in positive.items() if negative[f] * 25 <= c and negative[f] <= 0.002 * n_clean}
+    weight = {f: np.log((c + 0.5) / (negative[f] * rate * 3 + 0.5)) for f, c in positive.items() if negative[f] * rate * 25 <= c and negative[f] <= 0.002 * n_clean}
     # A stem goes where one longer form has almost all its contexts: the longer one says as much.
     longer: dict[str, float] = defaultdict(float)
     for f, c in positive.items():
@@ -285,7 +289,7 @@ def _features(lexicon: Lexicon):
         memo: dict = {}
         for batch in batches:
             x = [text_features(t, lexicon, memo) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("y"), batch.column("weight")], ["x", "y", "weight"])
 
     return run
 
@@ -295,15 +299,16 @@ DEFAULT_WEIGHTS = [1.0, 1.0, 1.0, 0.5, 1.0, -1.0, -1.0, -3.5]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
-    """A model from at most ``per_class`` training rows of either class."""
+    """A model from at most ``per_class`` training rows of either class, weighted to
+    the shares of all labels."""
     arrow_batches(docs.sparkSession)
     sample = training_sample(docs, labels, "toxic", per_class, id_col, text_col)
     if len({r["y"] for r in sample.select("y").distinct().collect()}) < 2:
         return Lexicon(weights=DEFAULT_WEIGHTS)
     lexicon = learn_lexicon(sample)
-    rows = sample.select("text", "y").mapInArrow(_features(lexicon), "x array<double>, y int").collect()
+    rows = sample.select("text", "y", "weight").mapInArrow(_features(lexicon), "x array<double>, y int, weight double").collect()
     y = np.array([r["y"] for r in rows], float)
-    lexicon.weights = fit_logistic(np.array([r["x"] for r in rows]), y, 0.3).tolist()
+    lexicon.weights = fit_logistic(np.array([r["x"] for r in rows]), y, 0.3, weight=np.array([r["weight"] for r in rows])).tolist()
     return lexicon
 
 

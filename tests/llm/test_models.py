@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from causeway.llm import quality, toxicity
+from causeway.llm.labelled import fit_logistic, training_sample
 from causeway.llm.quality import LineField
 
 
@@ -101,3 +102,28 @@ def test_grammar_against_enumeration():
     for symbols in product("3aYFTO", repeat=4):
         found = paths(toxicity.GRAMMAR, symbols)
         assert np.isclose(toxicity.GRAMMAR.best("".join(symbols))[0], max(found, default=0.0))
+
+
+def test_sampled_classes_keep_their_shares(spark, real):
+    """A bound below both classes' sizes leaves the weighted shares those of all labels."""
+    docs, labels = real
+    n = {r["quality"]: r["count"] for r in labels.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").groupBy("quality").count().collect()}
+    bound = min(n.values()) // 2
+    rows = training_sample(docs, labels, "quality", bound).collect()
+    for y in (0, 1):
+        own = [r["weight"] for r in rows if r["y"] == y]
+        assert len(own) == bound and np.isclose(sum(own), n[y])
+    assert {r["weight"] for r in training_sample(docs, labels, "quality", 10_000).collect()} == {1.0}
+    x, y, w = np.array([[0.0], [1.0], [2.0], [1.5]]), np.array([0.0, 0, 1, 1]), np.array([3, 1, 2, 4])
+    assert np.allclose(fit_logistic(x, y, weight=w), fit_logistic(np.repeat(x, w, axis=0), np.repeat(y, w)))
+
+
+def test_bound_does_not_move_scores(spark):
+    """Of 16 equal texts in 20 that are clean, the score says so, whatever the bound."""
+    rows = [(i, "Nothing to see here, a fine day.") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    for bound in (20, 10_000):
+        toxic = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, bound)).first()["score"]
+        good = quality.score_quality(docs, quality.fit_quality(docs, labels, bound)).first()["score"]
+        assert abs(toxic - 0.2) < 0.06 and abs(good - 0.8) < 0.06
