@@ -17,7 +17,7 @@ are fitted to the labels.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, text_of, tidy
+from .common import arrow_batches, materialise, text_of, tidy
 from .labelled import fit_logistic, fold, logistic, training_sample
 
 # Words of the grammar, in four languages.
@@ -45,7 +45,8 @@ PREFIXES = range(3, 9)
 PER_CLASS = 4000
 #: Different preceding words that a lexicon entry needs.
 LEAST_CONTEXTS = 8
-#: Lexicon candidates kept, the most frequent ones: a bound on what is sent.
+#: Lexicon entries kept, the heaviest of those that clean texts leave: a bound on
+#: what is sent.
 MOST_ENTRIES = 20_000
 
 
@@ -243,18 +244,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in pairs], pa.string()), pa.array([c for _, c in pairs], pa.int64())], ["form", "context"])
 
 
-def _counts(forms: set[str]):
-    @tidy
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@tidy
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         found: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                mine = {f for w in set(WORD.findall(text.lower())) for f in _forms(w)}
-                found.update(mine & forms)
+        for text in batch.column("text").to_pylist():
+            found.update({f for w in set(WORD.findall(text.lower())) for f in _forms(w)})
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["form", "n"])
 
-    return count
-
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Words and stems from a bounded sample with columns ``text``, ``y`` and
@@ -263,20 +260,22 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     weights = {r["y"]: r["w"] for r in sample.groupBy("y").agg(F.max("weight").alias("w")).collect()}
     rate = weights[0] / weights[1]
     toxic, clean = sample.filter("y = 1").select("text").distinct(), sample.filter("y = 0").select("text")
-    contexts = toxic.mapInArrow(_contexts, "form string, context long").distinct().groupBy("form").count()
-    rows = contexts.filter(F.col("count") >= LEAST_CONTEXTS).orderBy(F.desc("count"), "form").limit(MOST_ENTRIES).collect()
-    positive = {r["form"]: r["count"] for r in rows}
-    counted = clean.mapInArrow(_counts(set(positive)), "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).collect()
-    negative = defaultdict(int, {r["form"]: r["n"] for r in counted})
-    n_clean = max(1, clean.count())
-    weight = {f: np.log((c + 0.5) / (negative[f] * rate * 3 + 0.5)) for f, c in positive.items() if negative[f] * rate * 25 <= c and negative[f] <= 0.002 * n_clean}
+    contexts = toxic.mapInArrow(_contexts, "form string, context long").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("c"))
+    positive = materialise(contexts.filter(F.col("c") >= LEAST_CONTEXTS), "lexicon-forms")
+    counted = clean.mapInArrow(_counts, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
+    seen = positive.join(counted, "form", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    in_clean = F.col("n") * rate
+    fit = seen.filter((in_clean * 25 <= F.col("c")) & (F.col("n") <= 0.002 * max(1, clean.count())))
+    fit = fit.withColumn("w", F.log((F.col("c") + 0.5) / (in_clean * 3 + 0.5)))
     # A stem goes where one longer form has almost all its contexts: the longer one says as much.
-    longer: dict[str, float] = defaultdict(float)
-    for f, c in positive.items():
-        stem = f[:-1] if f.endswith("-") else f
-        for k in range(PREFIXES[0], len(stem) + (not f.endswith("-"))):
-            longer[stem[:k] + "-"] = max(longer[stem[:k] + "-"], c)
-    kept = {f: w for f, w in weight.items() if not f.endswith("-") or longer[f] < 0.9 * positive[f]}
+    is_stem = F.col("form").endswith("-")
+    last = F.least(F.char_length("form") - 2 * is_stem.cast("int"), F.lit(PREFIXES[-1]))
+    shorter = F.explode(F.sequence(F.lit(PREFIXES[0]), "last")).alias("k")
+    longer = positive.withColumn("last", last).filter(F.col("last") >= PREFIXES[0]).select("form", "c", shorter)
+    longer = longer.groupBy(F.concat(F.expr("substring(form, 1, k)"), F.lit("-")).alias("form")).agg(F.max("c").alias("longer"))
+    apart = ~is_stem | (F.coalesce("longer", F.lit(0)) < 0.9 * F.col("c"))
+    rows = fit.join(longer, "form", "left").filter(apart).orderBy(F.desc("w"), "form").limit(MOST_ENTRIES).collect()
+    kept = {r["form"]: r["w"] for r in rows}
     tier = lambda w: "3" if w > 4 else "2"
     stems = {f[:-1]: tier(w) for f, w in kept.items() if f.endswith("-")}
     covered = lambda word: any(word[:n] in stems for n in PREFIXES)

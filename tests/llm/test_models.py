@@ -127,3 +127,13 @@ def test_bound_does_not_move_scores(spark):
         toxic = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, bound)).first()["score"]
         good = quality.score_quality(docs, quality.fit_quality(docs, labels, bound)).first()["score"]
         assert abs(toxic - 0.2) < 0.06 and abs(good - 0.8) < 0.06
+
+
+def test_common_words_leave_room_for_rare_insults(spark, monkeypatch):
+    """The bound on entries counts what clean texts leave, by weight."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04}")
+    plain = [" ".join(f"x{name(100 * i + k)} common{chr(97 + k)}" for k in range(9)) for i in range(24)]
+    rows = [(p, 0, 1.0) for p in plain] + [(f"{p} y{name(i)} zorgo" if i < 12 else p, 1, 1.0) for i, p in enumerate(plain)]
+    monkeypatch.setattr(toxicity, "MOST_ENTRIES", 6)
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int, weight double"))
+    assert lexicon.symbol("zorgo") in "23" and lexicon.symbol("commona") == "O"
