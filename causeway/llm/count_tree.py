@@ -129,20 +129,28 @@ class CountTree:
         return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
-def pairs_among(packed: list[bytes], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets whose bound reaches the least overlap: a tree for each number of
-    groups, joined with itself and with the next one.  Sets further apart
-    differ too much in size."""
-    by_groups: dict[int, list[int]] = {}
-    for i, b in enumerate(packed):
-        by_groups.setdefault(groups_of(b), []).append(i)
-    trees = {g: (np.array(rows), CountTree(vectors([packed[i] for i in rows]), sizes[rows])) for g, rows in by_groups.items()}
+def pairs_across(packed: list[bytes], sizes: np.ndarray, split: int | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets whose bound reaches the least overlap: among all of them, or
+    with ``split`` between those before it and the others.  There is a tree for
+    each number of groups, joined with that of the same number and of the next one; sets
+    further apart differ too much in size."""
+    trees: list[dict[int, tuple[np.ndarray, CountTree]]] = []
+    for rows in [range(len(packed))] if split is None else [range(split), range(split, len(packed))]:
+        by_groups: dict[int, list[int]] = {}
+        for i in rows:
+            by_groups.setdefault(groups_of(packed[i]), []).append(i)
+        trees.append({g: (np.array(r), CountTree(vectors([packed[i] for i in r]), sizes[r])) for g, r in by_groups.items()})
     left, right = [np.zeros(0, int)], [np.zeros(0, int)]
-    for g, (rows, tree) in trees.items():
-        for other in (g, 2 * g):
-            if other in trees:
-                more, second = trees[other]
+    for g, (rows, tree) in trees[0].items():
+        for other in (g, 2 * g) if split is None else (g // 2, g, 2 * g):
+            if other in trees[-1]:
+                more, second = trees[-1][other]
                 i, j = tree.pairs(second, percent)
                 left.append(rows[i])
                 right.append(more[j])
     return np.concatenate(left), np.concatenate(right)
+
+
+def pairs_among(packed: list[bytes], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets whose bound reaches the least overlap."""
+    return pairs_across(packed, sizes, None, percent)

@@ -9,20 +9,23 @@ Documents with equal shingle sets form a class; classes are joined.
    each, so a second pass deals those to partitions, packed: keys are sorted
    and stored as differences.  Sets that share such a key form a block; blocks
    with the same members count once.
-3. Blocks of up to ``SMALL`` sets are indexed by an R-tree over count vectors
-   and joined with themselves, and each set is paired with the first of those
-   whose bound of the overlap is large enough (in blocks of up to ``TINY`` with
-   all of those); in larger blocks, with the first of the block.  Pairs are verified on the texts' shingles.  Links give
-   components.
-4. Other blocks that hold sets of several components are joined completely,
-   small ones by their R-tree.  The sets of large ones, in order of component
-   and size, are cut into leaves; the tree over the leaves finds pairs of
-   leaves that may hold a link between components, and leaves are joined with
-   each other.  No pair is dropped, and
-   pairs inside a component need no check, as they change nothing.
-
-Results are exact up to collisions of 64-bit shingle hashes within a pair of
-sets; verification itself compares words.
+3. The first set of a block is paired with its others; pairs whose count
+   vectors bound the overlap high enough are verified on the texts' shingles.
+   Links give components.
+4. Blocks that hold several components are cut into pages of about ``PAGE``
+   sets, a large component into pages of its own.  Pages of a block are joined
+   with each other unless both hold one and the same component: each page is an
+   R-tree over count vectors, and two trees are joined from their roots down.
+   Of each two components that a join of pages finds one pair is verified,
+   and what links merges.
+5. Step 4 is repeated with what is left, now with all pairs that were not
+   verified yet.  No pair is dropped, and pairs inside a component need no
+   check, as they change nothing.
+
+Pairs between components are few once components have grown, so a large group
+of near copies does not cost the square of its size.  Results are exact up to
+collisions of 64-bit shingle hashes within a pair of sets; verification itself
+compares words.
 """
 
 from __future__ import annotations
@@ -38,13 +41,16 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, keep_rows, materialise, shuffle_partitions, text_of, tidy
 from .components import components
-from .count_tree import CountTree, count_vector, fold, groups_for, least_overlap, pack, pairs_among, unpack, vectors
+from .count_tree import count_vector, fold, least_overlap, pairs_across, unpack
 from .shingles import WORDS, shingle_hashes, shingle_set
 
 PERCENT = 75
-#: Blocks of up to TINY sets are joined completely at once, up to SMALL in one task.
-TINY, SMALL = 4, 128
-LEAF = 64
+#: Sets of a page, a part of a block that one task holds as a tree.
+PAGE = 512
+#: Pairs with one set in common that a task verifies together.
+VERIFIED = 256
+#: Postings that a task turns into blocks.
+POSTINGS = 2_000_000
 #: Frequent shingles that the order knows: their number bounds what is broadcast.
 FREQUENT = 65_536
 #: A shingle is reported by a task when that many of its documents hold it.
@@ -170,7 +176,8 @@ def _postings(size: int, seed: int, percent: int, parts: int, frequent: np.ndarr
 
 @tidy
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets that share a key: ``block`` names the members, ``m`` counts them."""
+    """Sets that share a key: ``block`` names the members, ``m`` counts them,
+    ``first`` is the smallest."""
     found = [unpack_postings(b) for batch in batches for b in batch.column("postings").to_pylist()]
     if not found:
         return
@@ -191,8 +198,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = several[once[a : a + 4096]]
         rows = np.concatenate([np.arange(starts[c], starts[c] + sizes[c]) for c in chosen])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(names[chosen], sizes[chosen]).view(np.int64)), pa.array(np.repeat(sizes[chosen], sizes[chosen])), pa.array(sets[rows])],
-            ["block", "m", "class"],
+            [pa.array(np.repeat(v, sizes[chosen])) for v in (names[chosen].view(np.int64), sizes[chosen], sets[starts[chosen]])] + [pa.array(sets[rows])],
+            ["block", "m", "first", "class"],
         )
 
 
@@ -201,60 +208,43 @@ def _pair_batch(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _by_block(join):
-    """A batch function that gives ``join`` the rows of one block after the other;
-    they follow each other."""
+def _join_pages(percent: int, every: bool):
+    """Pairs between components that may be links, from rows of one join of pages
+    after the other (``block, p, q``): all, or of each two components the first."""
+
+    def join(rows: list[tuple]) -> pa.RecordBatch:
+        names, groups, sizes = (np.array([r[k] for r in rows]) for k in (4, 5, 6))
+        packed, split = [r[7] for r in rows], sum(r[3] == 0 for r in rows)
+        i, j = pairs_across(packed, sizes, split if rows[0][1] != rows[0][2] else None, percent)
+        differ = groups[i] != groups[j]
+        i, j = i[differ], j[differ]
+        i, j = np.where(names[i] < names[j], i, j), np.where(names[i] < names[j], j, i)
+        if not every and len(i):
+            low, high = np.minimum(groups[i], groups[j]), np.maximum(groups[i], groups[j])
+            order = np.lexsort((names[j], names[i], high, low))
+            low, high = low[order], high[order]
+            first = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+            i, j = i[order[first]], j[order[first]]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (names[i], names[j], groups[i], groups[j])], ["a", "b", "ga", "gb"])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        out: list[pa.RecordBatch] = []
         for batch in batches:
+            out: list[pa.RecordBatch] = []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if held and row[0] != held[0][0]:
+                if held and row[:3] != held[0][:3]:
                     out.append(join(held))
                     held = []
                 held.append(row)
             if out:
                 yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-                out = []
         if held:
             yield join(held)
 
     return run
 
 
-def _join_blocks(percent: int):
-    """For each set of a block the first of those that it may resemble."""
-
-    def join(rows: list[tuple]) -> pa.RecordBatch:
-        names = np.array([r[1] for r in rows])
-        i, j = pairs_among([r[3] for r in rows], np.array([r[2] for r in rows]), percent)
-        if len(rows) <= TINY:
-            return _pair_batch(names[i], names[j])
-        # Of each set's partners the one with the smallest name: blocks with
-        # almost the same members ask for the same pairs.
-        i, j = np.where(names[i] < names[j], i, j), np.where(names[i] < names[j], j, i)
-        order = np.lexsort((names[i], j))
-        i, j = i[order], j[order]
-        first = np.flatnonzero(np.append(True, j[1:] != j[:-1])) if len(j) else j
-        return _pair_batch(names[i[first]], names[j[first]])
-
-    return _by_block(join)
-
-
-def _join_mixed(percent: int):
-    """All pairs of a block that may be links between components."""
-
-    def join(rows: list[tuple]) -> pa.RecordBatch:
-        names, groups = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        i, j = pairs_among([r[4] for r in rows], np.array([r[3] for r in rows]), percent)
-        differ = groups[i] != groups[j]
-        return _pair_batch(names[i[differ]], names[j[differ]])
-
-    return _by_block(join)
-
-
 def _bound(percent: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,17 +264,21 @@ def _bound(percent: int):
 
 
 def _verify(size: int, percent: int):
+    """Links among rows of one set after the other (``a, salt``), where the row
+    without ``b`` comes first and holds its own text."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, memory = None, None
+        own: set = set()
         for batch in batches:
             a_ok, b_ok = [], []
-            for a, b, ta, tb in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")]):
-                if last != a:
-                    last, memory = a, shingle_set(ta, size)
-                other = shingle_set(tb, size)
-                both = len(memory & other)
-                if 100 * both >= percent * (len(memory) + len(other) - both):
+            for a, b, text in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "text")]):
+                if b is None:
+                    own = shingle_set(text, size)
+                    continue
+                other = shingle_set(text, size)
+                both = len(own & other)
+                if 100 * both >= percent * (len(own) + len(other) - both):
                     a_ok.append(a)
                     b_ok.append(b)
             yield _pair_batch(a_ok, b_ok)
@@ -292,77 +286,6 @@ def _verify(size: int, percent: int):
     return run
 
 
-@tidy
-def _cut_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves of up to LEAF rows of one block: their node and their rows."""
-
-    def leaf(rows: list[tuple]) -> pa.RecordBatch:
-        top = pack(vectors([r[4] for r in rows]).max(axis=0), 4)
-        kinds = {"block": pa.int64(), "leaf": pa.int64(), "least": pa.int64(), "most": pa.int64(), "low": pa.int64(), "high": pa.int64(), "top": pa.binary()}
-        name = xxhash.xxh3_64_intdigest(struct.pack("<qq", rows[0][0], rows[0][1])) - (1 << 63)
-        one = [rows[0][0], name, min(r[3] for r in rows), max(r[3] for r in rows), min(r[2] for r in rows), max(r[2] for r in rows), top]
-        columns = {n: pa.array([v], t) for (n, t), v in zip(kinds.items(), one)}
-        for n, k, t in (("classes", 1, pa.int64()), ("components", 2, pa.int64()), ("sizes", 3, pa.int64()), ("points", 4, pa.binary())):
-            columns[n] = pa.array([[r[k] for r in rows]], pa.list_(t))
-        return pa.RecordBatch.from_pydict(columns)
-
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if held and (row[0] != held[0][0] or len(held) == LEAF or groups_for(row[3]) != groups_for(held[0][3])):
-                yield leaf(held)
-                held = []
-            held.append(row)
-    if held:
-        yield leaf(held)
-
-
-def _join_nodes(percent: int):
-    """Pairs of a block's leaves (also with themselves) that may hold a link
-    between components."""
-
-    def run(nodes: pa.Table) -> pa.Table:
-        names = nodes.column("leaf").to_numpy()
-        low, high = nodes.column("low").to_numpy(), nodes.column("high").to_numpy()
-        least, most = nodes.column("least").to_numpy(), nodes.column("most").to_numpy()
-        tops = [unpack(b).astype(np.int64) for b in nodes.column("top").to_pylist()]
-        left, right = [], []
-        order = np.argsort(least, kind="stable")
-        for k, i in enumerate(order):
-            others = order[k:]
-            # In order of their least size: the rest is too large once it passes this.
-            others = others[: np.searchsorted(least[others], most[i] * 100 // percent, side="right")]
-            one_component = low[i] == high[i]
-            for j in others.tolist():
-                if one_component and low[j] == high[j] == low[i]:
-                    continue
-                groups = min(len(tops[i]), len(tops[j]))
-                bound = np.minimum(fold(tops[i], groups), fold(tops[j], groups)).sum()
-                if bound >= least_overlap(least[j], least[i], percent):
-                    left.append(names[i])
-                    right.append(names[j])
-        return pa.table({"x": pa.array(left, pa.int64()), "y": pa.array(right, pa.int64())})
-
-    return run
-
-
-def _join_leaves(percent: int):
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out_a, out_b = [], []
-            for row in batch.to_pylist():
-                x = CountTree(vectors(row["px"]), np.array(row["sx"]))
-                y = x if row["x"] == row["y"] else CountTree(vectors(row["py"]), np.array(row["sy"]))
-                i, j = x.pairs(y, percent)
-                differ = np.array(row["gx"])[i] != np.array(row["gy"])[j]
-                out_a += np.array(row["cx"])[i[differ]].tolist()
-                out_b += np.array(row["cy"])[j[differ]].tolist()
-            yield _pair_batch(out_a, out_b)
-
-    return run
-
-
 class _Join:
     """One run of the join over one table."""
 
@@ -397,81 +320,116 @@ class _Join:
         self.classes = materialise(classes.select("class", "n", "vector", F.col("copy.doc_id").alias("doc_id"), F.col("copy.version").alias("version")), "shingle-classes")
 
     def find_blocks(self) -> None:
-        parts = shuffle_partitions(self.spark)
-        packed = self.texts.mapInArrow(_postings(self.size, self.seed, self.percent, parts, self.frequent, self.rank), "part long, postings binary")
-        blocks = packed.repartition(parts, "part").mapInArrow(_blocks, "block long, m long, class long")
+        # A task's share doesn't grow with the table.
+        total = self.docs.agg(F.sum(F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1)).first()[0] or 0
+        parts = max(shuffle_partitions(self.spark), int(total) // POSTINGS + 1)
+        # Several names for each partition, so that hashing deals them evenly.
+        packed = self.texts.mapInArrow(_postings(self.size, self.seed, self.percent, 8 * parts, self.frequent, self.rank), "part long, postings binary")
+        blocks = packed.repartition(parts, "part").mapInArrow(_blocks, "block long, m long, first long, class long")
         self.blocks = materialise(blocks, "shingle-blocks")
+        self.points = self.classes.select("class", "n", "vector")
 
-    def pairs(self) -> DataFrame:
-        points = self.classes.select("class", "n", "vector")
-        small = self.blocks.filter(F.col("m") <= SMALL).distinct()
-        rows = small.join(points, "class").select("block", "class", "n", "vector")
-        rows = rows.repartition(shuffle_partitions(self.spark), "block").sortWithinPartitions("block", "class")
-        inside = rows.mapInArrow(_join_blocks(self.percent), "a long, b long")
-        large = self.blocks.filter(F.col("m") > SMALL)
-        first = materialise(large.groupBy("block").agg(F.min("class").alias("a")), "large-blocks")
-        star = large.join(first, "block").select("a", F.col("class").alias("b")).filter("a <> b").distinct()
-        star = star.join(points.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va")), "a")
-        star = star.join(points.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb")), "b")
-        star = star.select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bound(self.percent), "a long, b long")
-        return inside.unionByName(star).distinct()
+    def star(self) -> DataFrame:
+        """The first set of each block with those of its others that it may resemble."""
+        pairs = self.blocks.select(F.col("first").alias("a"), F.col("class").alias("b")).filter("a <> b").distinct()
+        for x in ("a", "b"):
+            pairs = pairs.join(self.points.toDF(x, "n" + x, "v" + x), x)
+        return pairs.select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bound(self.percent), "a long, b long")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are links.  Texts are looked up by their class's copy."""
+        """Those of the written ``pairs(a, b)`` that are links.  Texts are looked up by
+        their class's copy; that of ``a`` is sent once for ``VERIFIED`` pairs."""
         null = F.lit(-(2**63))
         copies = self.classes.select("class", F.coalesce("doc_id", null).alias("d"), F.col("version").alias("v"))
-        texts = self.texts.select(F.coalesce("doc_id", null).alias("d"), F.col("version").alias("v"), "text").dropDuplicates(["d", "v"]) if self.repeats else self.texts.select(F.coalesce("doc_id", null).alias("d"), F.col("version").alias("v"), "text")
-        pairs = materialise(pairs, "pairs")
-        b = pairs.join(copies.withColumnRenamed("class", "b"), "b").join(texts, ["d", "v"]).select("a", "b", F.col("text").alias("tb"))
-        both = b.join(copies.withColumnRenamed("class", "a"), "a").join(texts, ["d", "v"]).select("a", "b", F.col("text").alias("ta"), "tb")
-        return materialise(both.mapInArrow(_verify(self.size, self.percent), "a long, b long"), "links")
-
-    def rest(self, links: DataFrame, labels: DataFrame) -> DataFrame | None:
-        """Candidate pairs between components that share a block; None without any."""
-        members = self.blocks.filter(F.col("m") > TINY).distinct()
+        texts = self.texts.select(F.coalesce("doc_id", null).alias("d"), F.col("version").alias("v"), "text")
+        if self.repeats:
+            texts = texts.dropDuplicates(["d", "v"])
+        many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFIED).alias("salts")).filter("salts > 1")
+        salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))
+        pairs = pairs.join(materialise(many, "verify-salts"), "a", "left").select("a", "b", salt.alias("salt"))
+        asked = pairs.select("a", "b", "salt", F.col("b").alias("class"))
+        asked = asked.unionByName(pairs.select("a", F.lit(None).cast("long").alias("b"), "salt", F.col("a").alias("class")).distinct())
+        asked = materialise(asked.join(copies, "class").select("a", "b", "salt", "d", "v"), "verify-asked")
+        rows = asked.join(texts, ["d", "v"]).select("a", "salt", "b", "text")
+        rows = rows.repartition(shuffle_partitions(self.spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        return materialise(rows.mapInArrow(_verify(self.size, self.percent), "a long, b long"), "links")
+
+    def between(self, labels: DataFrame, known: DataFrame, every: bool) -> DataFrame | None:
+        """Candidate pairs ``a, b`` with components ``ga, gb`` that are not in ``known``,
+        from blocks that hold several components; None without such blocks."""
+        # In a block of two the star has seen the only pair.
+        members = self.blocks.filter("m > 2").select("block", "m", "class").distinct()
         placed = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         placed = materialise(placed, "placed")
-        mixed = placed.groupBy("block").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("block")
+        mixed = placed.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("block")
         mixed = materialise(mixed, "mixed-blocks")
         if mixed.isEmpty():
             return None
-        columns = ["block", "class", "component", "n", "vector"]
-        rows = placed.join(mixed, "block").join(self.classes.select("class", "n", "vector"), "class")
-        parts = shuffle_partitions(self.spark)
-        small = rows.filter(F.col("m") <= SMALL).select(*columns).repartition(parts, "block").sortWithinPartitions("block", "class")
-        cross = small.mapInArrow(_join_mixed(self.percent), "a long, b long")
-        if not placed.filter(F.col("m") > SMALL).join(mixed, "block", "left_semi").isEmpty():
-            cross = cross.unionByName(self.across_leaves(rows.filter(F.col("m") > SMALL).select(*columns)))
-        cross = materialise(cross.distinct(), "cross-pairs")
-        return cross.join(links, ["a", "b"], "left_anti")
-
-    def across_leaves(self, rows: DataFrame) -> DataFrame:
-        """Candidate pairs between components in large blocks."""
-        order = ["block", "component", "n", "class"]
-        rows = rows.repartitionByRange(shuffle_partitions(self.spark), *order).sortWithinPartitions(*order)
-        schema = "block long, leaf long, least long, most long, low long, high long, top binary, classes array<long>, components array<long>, sizes array<long>, points array<binary>"
-        leaves = materialise(rows.mapInArrow(_cut_leaves, schema), "leaves")
-        nodes = leaves.select("block", "leaf", "least", "most", "low", "high", "top")
-        found = nodes.groupBy("block").applyInArrow(_join_nodes(self.percent), "x long, y long")
-        side = lambda k: leaves.select(F.col("leaf").alias(k), F.col("classes").alias("c" + k), F.col("components").alias("g" + k), F.col("sizes").alias("s" + k), F.col("points").alias("p" + k))
-        return found.join(side("x"), "x").join(side("y"), "y").mapInArrow(_join_leaves(self.percent), "a long, b long")
+        rows = placed.join(mixed, "block").join(self.points, "class").select("block", "m", "class", "component", "n", "vector")
+        asked = self.pages(rows)
+        schema = "a long, b long, ga long, gb long"
+        columns = ["block", "p", "q", "side", "class", "component", "n", "vector"]
+        asked = asked.select(*columns).repartition(shuffle_partitions(self.spark), "block", "p", "q").sortWithinPartitions("block", "p", "q", "side", "class")
+        found = asked.mapInArrow(_join_pages(self.percent, every), schema).dropDuplicates(["a", "b"])
+        return materialise(found.join(known, ["a", "b"], "left_anti").select("a", "b", "ga", "gb"), "cross-pairs")
+
+    def pages(self, rows: DataFrame) -> DataFrame:
+        """``rows`` by the joins of pages (``block, p, q``) that they take part in, on
+        ``side`` 0 for ``p`` and 1 for ``q``.  A component with more sets of a block
+        than a page holds has pages of its own."""
+        zero = [F.lit(0).cast("long").alias(c) for c in ("p", "q")]
+        single = rows.filter(F.col("m") <= PAGE).select("*", *zero, F.lit(0).alias("side"))
+        large = rows.filter(F.col("m") > PAGE)
+        if large.isEmpty():
+            return single
+        large = materialise(large, "large-blocks")
+        shares = large.groupBy("block", "component").agg(F.ceil(F.count(F.lit(1)) / PAGE).alias("own")).filter("own > 1")
+        large = large.join(materialise(shares, "large-components"), ["block", "component"], "left")
+        own = F.xxhash64("component", F.pmod(F.xxhash64("class"), F.col("own")))
+        shared = F.pmod(F.xxhash64("component"), F.ceil(F.col("m") / PAGE))
+        large = materialise(large.withColumn("page", F.when(F.col("own").isNull(), shared).otherwise(own)), "paged-rows")
+        nodes = large.groupBy("block", "page").agg(*[f(c).alias(k + c) for c in ("component", "n") for k, f in (("low_", F.min), ("high_", F.max))])
+        nodes = materialise(nodes, "pages")
+        other = nodes.select("block", *[F.col(c).alias("o_" + c) for c in nodes.columns[1:]])
+        pairs = nodes.join(other, "block").filter("page <= o_page")
+        pairs = pairs.filter("not (low_component = high_component and o_low_component = o_high_component and low_component = o_low_component)")
+        # Sizes so far apart that even a subset is too small a share.
+        pairs = pairs.filter(f"100 * high_n >= {self.percent} * o_low_n and 100 * o_high_n >= {self.percent} * low_n")
+        pairs = materialise(pairs.select("block", F.col("page").alias("p"), F.col("o_page").alias("q")), "page-pairs")
+        left = large.join(pairs.withColumn("page", F.col("p")), ["block", "page"]).withColumn("side", F.lit(0))
+        right = large.join(pairs.filter("p <> q").withColumn("page", F.col("q")), ["block", "page"]).withColumn("side", F.lit(1))
+        return single.unionByName(left.unionByName(right).select(single.columns))
+
+    def merged(self, labels: DataFrame, cross: DataFrame, found: DataFrame) -> DataFrame:
+        """``labels`` after the links ``found`` among ``cross`` have joined components."""
+        groups = components(cross.join(found, ["a", "b"], "left_semi").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct())
+        # A component of one set has no label yet.
+        every = labels.unionByName(groups.select("node", F.col("node").alias("component"))).distinct()
+        groups = groups.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        moved = every.join(groups, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        return materialise(moved, "labels")
 
     def run(self) -> DataFrame:
         """Each row's version and component beside what is asked for."""
         self.profile()
         self.repeats = not self.docs.groupBy("doc_id", "version").count().filter("count > 1").isEmpty()
         self.find_blocks()
-        links = self.verify(self.pairs())
-        labels = components(links)
-        more = self.rest(links, labels)
-        if more is not None:
-            found = self.verify(more)
+        known = materialise(self.star(), "star-pairs")
+        labels = components(self.verify(known))
+        for every in (False, True):
+            cross = self.between(labels, known, every)
+            if cross is None:
+                break
+            found = self.verify(cross.select("a", "b"))
             if not found.isEmpty():
-                labels = components(links.unionByName(found))
+                labels = self.merged(labels, cross, found)
+            known = known.unionByName(cross.select("a", "b"))
         # The smallest document id of all classes in a component.
         least = self.docs.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
         labelled = least.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+        # Written first, so that adaptive execution can split a large component.
+        labelled = materialise(labelled, "labelled-classes")
+        smallest = materialise(labelled.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
         named = materialise(labelled.join(smallest, "component").select("class", "component", "component_id"), "shingle-components")
         out = self.docs.select("doc_id", "version", "class", F.col("n").alias("n_shingles")).join(named, "class", "left")
         own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from causeway.llm import jaccard
 from causeway.llm.components import components
-from causeway.llm.count_tree import CountTree, count_vector, least_overlap, pairs_among, vectors
+from causeway.llm.count_tree import CountTree, count_vector, least_overlap, pairs_across, pairs_among, vectors
 from causeway.llm.jaccard import jaccard_components, pack_postings, prefix, unpack_postings
 from causeway.llm.shingles import shingle_hashes, shingle_set
 
@@ -98,6 +98,8 @@ def test_tree_finds_every_similar_pair():
     one, two = CountTree(points[:100], sizes[:100]), CountTree(points[100:], sizes[100:])
     across = {(i, j + 100) for i, j in zip(*map(np.ndarray.tolist, one.pairs(two, 75)))}
     assert {(i, j) for i, j in true if i < 100 <= j} <= across
+    between = set(zip(*map(np.ndarray.tolist, pairs_across(packed, sizes, 100, 75))))
+    assert {(i, j) for i, j in true if i < 100 <= j} <= between and all(i < 100 <= j for i, j in between)
 
 
 def test_components(spark):
@@ -111,12 +113,12 @@ def edited(rng, words, share):
     return [rng.choice("pqrstuvw") + str(rng.randint(0, 99)) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("small", [3, 128])
-def test_near_copies(spark, monkeypatch, small):
-    monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "TINY", 2)
+@pytest.mark.parametrize("page", [3, 512])
+def test_near_copies(spark, monkeypatch, page):
+    monkeypatch.setattr(jaccard, "PAGE", page)
+    monkeypatch.setattr(jaccard, "VERIFIED", 4)
     monkeypatch.setattr(jaccard, "FREQUENT", 40)
-    rng = random.Random(small)
+    rng = random.Random(page)
     passage = [f"shared{i}" for i in range(30)]
     rows = []
     for g in range(12):
