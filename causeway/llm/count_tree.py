@@ -19,9 +19,9 @@ FANOUT = 16
 
 
 def groups_for(n: int) -> int:
-    """Groups for a set of ``n``: a power of two from n, so that elements that two
+    """Groups for a set of ``n``: a power of two from 4 n, so that elements that two
     sets don't share seldom meet in a group."""
-    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (n - 1).bit_length()))
+    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (4 * n - 1).bit_length()))
 
 
 def count_vector(hashes: np.ndarray) -> bytes:

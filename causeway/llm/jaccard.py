@@ -17,10 +17,9 @@ Documents with equal shingle sets form a class; classes are joined.
    with each other unless both hold one and the same component: each page is an
    R-tree over count vectors, and two trees are joined from their roots down.
    Of each two components that a join of pages finds one pair is verified,
-   and what links merges.
-5. Step 4 is repeated with what is left, now with all pairs that were not
-   verified yet.  No pair is dropped, and pairs inside a component need no
-   check, as they change nothing.
+   and what links merges.  This is repeated until nothing links.
+5. Then all pairs of step 4 that were not verified yet are.  No pair is dropped,
+   and pairs inside a component need no check, as they change nothing.
 
 Pairs between components are few once components have grown, so a large group
 of near copies does not cost the square of its size.  Results are exact up to
@@ -357,15 +356,15 @@ class _Join:
     def between(self, labels: DataFrame, known: DataFrame, every: bool) -> DataFrame | None:
         """Candidate pairs ``a, b`` with components ``ga, gb`` that are not in ``known``,
         from blocks that hold several components; None without such blocks."""
-        # In a block of two the star has seen the only pair.
-        members = self.blocks.filter("m > 2").select("block", "m", "class").distinct()
-        placed = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        placed = materialise(placed, "placed")
+        placed = self.members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        placed = materialise(placed.select("block", "m", "class", "component"), "placed")
         mixed = placed.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("block")
-        mixed = materialise(mixed, "mixed-blocks")
-        if mixed.isEmpty():
+        # Other blocks stay within a component for good.
+        placed = materialise(placed.join(materialise(mixed, "mixed-blocks"), "block"), "mixed-rows")
+        self.members = placed.drop("component")
+        if placed.isEmpty():
             return None
-        rows = placed.join(mixed, "block").join(self.points, "class").select("block", "m", "class", "component", "n", "vector")
+        rows = placed.join(self.points, "class").select("block", "m", "class", "component", "n", "vector")
         asked = self.pages(rows)
         schema = "a long, b long, ga long, gb long"
         columns = ["block", "p", "q", "side", "class", "component", "n", "vector"]
@@ -416,14 +415,17 @@ class _Join:
         self.find_blocks()
         known = materialise(self.star(), "star-pairs")
         labels = components(self.verify(known))
-        for every in (False, True):
-            cross = self.between(labels, known, every)
-            if cross is None:
-                break
+        # In a block of two the star has seen the only pair.
+        self.members = self.blocks.filter("m > 2").select("block", "m", "class").distinct()
+        last = False
+        while (cross := self.between(labels, known, last)) is not None:
             found = self.verify(cross.select("a", "b"))
             if not found.isEmpty():
                 labels = self.merged(labels, cross, found)
+            if last:
+                break
             known = known.unionByName(cross.select("a", "b"))
+            last = found.isEmpty()
         # The smallest document id of all classes in a component.
         least = self.docs.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
         labelled = least.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
