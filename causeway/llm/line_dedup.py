@@ -3,12 +3,14 @@
 A text's lines that aren't blank are hashed.  In each window of ``run`` lines
 the smallest hash (the leftmost of equals) is a fingerprint, so two equal runs
 of ``run`` lines always share one at the same place.  Fingerprints that occur
-once can't lie in a repeated run and go.  At the others the match is extended
-both ways over the windows that they stand for: each such window's hash is
-joined with its first occurrence in the table, and windows that aren't the
-first are repeats.  Lines that a repeated window covers are deleted, so of any
-run of at least ``run`` lines that occurs again, the first occurrence stays; a
-run that overlaps its own first occurrence keeps what lies before the overlap.
+once can't lie in a repeated run and go.  Positions of the others are joined:
+each window that a fingerprint stands for with the first position of that window in
+the table.  A match that isn't the first itself is then extended both ways as
+long as the neighbouring windows match on the same diagonal, so matches grow to
+maximal runs, each with the place of which it is a copy.  Those later runs are
+deleted, so of any run of at least ``run`` lines that occurs again, the first
+occurrence stays; a run that overlaps its own first occurrence keeps what lies
+before the overlap.
 
 Shorter runs count too where the caller sets ``words``: those of fewer lines
 that hold so many words are windows of their own, and are their own fingerprint.
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, materialise, text_of, tidy
 
 RUN = 3
+#: Words that make a run of fewer lines count in the contract query.
+PASSAGE_WORDS = 50
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -84,42 +88,59 @@ def _anchors(run: int, words: int | None):
     return scan
 
 
-def cut_lines(text: str, starts: list[int], run: int, short: list[tuple[int, int]] = []) -> tuple[str, int, int]:
-    """The text without the lines that windows at ``starts`` and the ``short``
-    runs (position, lines) cover, the number of lines cut and of runs they form."""
+def extend(matches: list[tuple[int, int, tuple]]) -> list[tuple[int, int, tuple]]:
+    """Maximal runs (position, lines, first line of the run that it copies) of
+    matches (position, lines, place of the first occurrence: id, version,
+    position).  Matches that overlap or touch on one diagonal are one run."""
+    out: list[list] = []
+    for at, span, (doc, version, origin) in sorted(matches, key=lambda m: (m[2][0], m[2][1], m[2][2] - m[0], m[0], m[1])):
+        if out and out[-1][2][:2] == (doc, version) and out[-1][2][2] - out[-1][0] == origin - at and at <= out[-1][0] + out[-1][1]:
+            out[-1][1] = max(out[-1][1], at + span - out[-1][0])
+        else:
+            out.append([at, span, (doc, version, origin)])
+    return sorted((a, n, o) for a, n, o in out)
+
+
+def cut_lines(text: str, starts: list[int], run: int, more: list[tuple[int, int]] = []) -> tuple[str, int, int]:
+    """The text without the lines that windows at ``starts`` and ``more`` runs
+    (position, lines) cover, the number of lines cut and of runs they form."""
     lines = lines_of(text)
-    gone = {j for s, r in [*((s, run) for s in starts), *short] for j in range(s, s + r)}
+    gone = {j for s, r in [*((s, run) for s in starts), *more] for j in range(s, s + r)}
     runs = sum(1 for j in gone if j - 1 not in gone)
     numbers = {lines[j][0] for j in gone}
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in numbers), len(gone), runs
 
 
-def _cutter(run: int):
-    @tidy
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
-                found = [(x["at"], x["span"]) for x in starts or []]
-                kept, lines, runs = cut_lines(text, [], run, found)
-                out.append((len(lines_of(text)), lines, runs, kept, hashlib.sha256(kept.encode()).hexdigest()))
-            names = ["n_lines", "n_removed", "n_runs", "kept_text", "kept_sha256"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            arrays = [pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *names])
-
-    return cut
+@tidy
+def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    null = -(2**63)
+    copy = pa.struct([("at", pa.int32()), ("lines", pa.int32()), ("of_id", pa.int64()), ("of_at", pa.int32())])
+    for batch in batches:
+        out = []
+        for text, found in zip(batch.column("text").to_pylist(), batch.column("matches").to_pylist()):
+            runs = extend([(m["at"], m["span"], tuple(m["origin"].values())) for m in found or []])
+            kept, lines, several = cut_lines(text, [], 0, [r[:2] for r in runs])
+            spans = [{"at": a, "lines": n, "of_id": None if o[0] == null else o[0], "of_at": o[2]} for a, n, o in runs]
+            out.append((len(lines_of(text)), lines, several, kept, hashlib.sha256(kept.encode()).hexdigest(), spans))
+        names = ["n_lines", "n_removed", "n_runs", "kept_text", "kept_sha256", "copies"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(copy)]
+        arrays = [pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *names])
 
 
-def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
-    """``doc_id, n_lines, n_removed, n_runs, kept_text, kept_sha256`` of every row.
+def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, with_copies: bool = False) -> DataFrame:
+    """``doc_id, n_lines, n_removed, n_runs, kept_text, kept_sha256`` of every row and,
+    if asked for, ``copies``.
 
     A line is removed when ``run`` consecutive lines that cover it also start at
     an earlier place: a smaller id, or the same id and an earlier line.  With
     ``words``, so is one that a run of fewer lines covers which holds at least
-    so many words and also starts at an earlier place.  Lines
+    so many words and also starts at an earlier place.  ``copies`` has the
+    maximal matches: position and number of lines (blank ones not counted), and
+    id and position of the run that stays.  Lines
     are compared in the form of :func:`lines_of`; blank lines count neither as
     lines nor as text to compare, and stay.  A null or empty text has no lines.
+    A text of many lines is handled whole, in memory in proportion to it.
     Rows that repeat an id are versions in the order of their texts' hashes, and
     rows that repeat id and text are one place, so all keep or lose the same
     lines; a null id comes first.  An empty table gives no rows; further columns
@@ -130,19 +151,20 @@ def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col
     null = F.lit(-(2**63))
     keyed = rows.select(F.coalesce("doc_id", null).alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     anchors = materialise(keyed.mapInArrow(_anchors(run, words), "fp long, doc_id long, first int, version long, span int, windows array<binary>"), "line-anchors")
-    # Written and read again, so that adaptive execution can split the join at a hot fingerprint.
+    # Both sides of each join are written first, so that adaptive execution can split it at a hot key.
     repeated = materialise(anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp"), "line-fingerprints")
-    windows = anchors.join(repeated, "fp").select("doc_id", "version", F.posexplode("windows").alias("i", "w"), "first", "span")
-    windows = windows.select("doc_id", "version", (F.col("first") + F.col("i")).alias("at"), "span", "w")
+    positions = anchors.join(repeated, "fp").select("doc_id", "version", F.posexplode("windows").alias("i", "w"), "first", "span")
+    positions = materialise(positions.select("doc_id", "version", (F.col("first") + F.col("i")).alias("at"), "span", "w"), "line-positions")
     place = F.struct("doc_id", "version", "at")
-    earliest = windows.groupBy("w").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = windows.join(earliest, "w").filter(place > F.col("origin"))
-    marks = later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("at", "span"))).alias("starts"))
+    earliest = positions.groupBy("w").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", "origin")
+    later = positions.join(materialise(earliest, "line-origins"), "w").filter(place > F.col("origin"))
+    marks = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "span", "origin")).alias("matches"))
     marks = marks.withColumnsRenamed({"doc_id": "marked", "version": "of_version"})
     same = (F.coalesce("doc_id", null) == F.col("marked")) & (F.xxhash64("text") == F.col("of_version"))
-    joined = rows.join(marks, same, "left").select("doc_id", "text", "starts")
-    schema = "doc_id long, n_lines long, n_removed long, n_runs long, kept_text string, kept_sha256 string"
-    return joined.mapInArrow(_cutter(run), schema)
+    joined = rows.join(marks, same, "left").select("doc_id", "text", "matches")
+    schema = "doc_id long, n_lines long, n_removed long, n_runs long, kept_text string, kept_sha256 string, copies array<struct<at: int, lines: int, of_id: long, of_at: int>>"
+    found = joined.mapInArrow(_cutter, schema)
+    return found if with_copies else found.drop("copies")
 
 
 ORACLE_SQL = r"""
@@ -151,13 +173,18 @@ WITH every AS (
 ), norm AS (
   SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS form FROM every
 ), numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM norm WHERE form <> ''
+  SELECT *, len(string_split(form, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM norm WHERE form <> ''
+), ahead AS (
+  SELECT doc_id, k, form AS a, lead(form) OVER w AS b, lead(form, 2) OVER w AS c, words AS n, lead(words) OVER w AS m
+  FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY k)
 ), windows AS (
-  SELECT doc_id, k, form AS a, lead(form) OVER w AS b, lead(form, 2) OVER w AS c FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+  SELECT doc_id, k, 3 AS span, a, b, c FROM ahead WHERE c IS NOT NULL
+  UNION ALL SELECT doc_id, k, 2, a, b, NULL FROM ahead WHERE b IS NOT NULL AND n + m >= 50
+  UNION ALL SELECT doc_id, k, 1, a, NULL, NULL FROM ahead WHERE n >= 50
 ), later AS (
-  SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS n FROM windows WHERE c IS NOT NULL) WHERE n > 1
+  SELECT doc_id, k, span FROM (SELECT *, row_number() OVER (PARTITION BY span, a, b, c ORDER BY doc_id, k) AS n FROM windows) WHERE n > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, k + i AS k FROM later, (VALUES (0), (1), (2)) v(i)
+  SELECT DISTINCT doc_id, k + i AS k FROM later, (VALUES (0), (1), (2)) v(i) WHERE i < span
 ), counts AS (
   SELECT g.doc_id, count(*) AS n_removed, count(*) FILTER (WHERE p.k IS NULL) AS n_runs
   FROM gone g LEFT JOIN gone p ON p.doc_id = g.doc_id AND p.k = g.k - 1 GROUP BY g.doc_id

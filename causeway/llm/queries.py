@@ -45,7 +45,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), words=line_dedup.PASSAGE_WORDS).drop("kept_text")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import hashlib
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from causeway.llm.line_dedup import cut_lines, line_dedup, lines_of, winnow
+from causeway.llm.line_dedup import cut_lines, extend, line_dedup, lines_of, winnow
 
 
 def brute(rows, run):
@@ -47,6 +47,30 @@ def test_planted_runs(spark):
     assert [r[2] for r in got] == [0, 4, 3, 0, 5, 0, 9]
 
 
+def test_matches_grow_to_maximal_runs(spark):
+    place = lambda doc, at: (doc, 0, at)
+    found = [(4, 3, place(1, 0)), (2, 3, place(9, 5)), (5, 3, place(1, 1)), (6, 3, place(1, 3)), (7, 3, place(1, 3)), (20, 3, place(1, 16))]
+    assert extend(found) == [(2, 3, place(9, 5)), (4, 6, place(1, 0)), (6, 3, place(1, 3)), (20, 3, place(1, 16))]
+    a = [f"line {i}" for i in range(9)]
+    rows = [(1, "\n".join(a)), (2, "\n".join(["x", *a[2:8], "y", *a[:3]]))]
+    got = {r["doc_id"]: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_copies=True).collect()}
+    assert got[1]["copies"] == [] and [tuple(c) for c in got[2]["copies"]] == [(1, 6, 1, 2), (8, 3, 1, 0)]
+
+
+def test_query_and_its_sql(spark, sf_dir):
+    import duckdb
+
+    from causeway.llm import queries
+
+    got = queries.QUERIES["op7_line_dedup"](spark, sf_dir)
+    names = sorted(got.columns)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op7_line_dedup"])
+    assert sorted(want.columns) == names and sorted(want.project(", ".join(names)).fetchall()) == sorted(tuple(r) for r in got.select(*names).collect())
+    assert any(r["n_removed"] for r in got.collect())
+
+
 def test_real_and_odd_rows(spark, sf_dir, odd_docs, no_docs):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
