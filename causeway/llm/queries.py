@@ -78,5 +78,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_jaccard_join": jaccard.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op9_packing": packing.ORACLE_SQL,
     "op10_nearest": nearest.ORACLE_SQL,
 }

@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import numpy as np
@@ -5,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from causeway.llm import packing, queries
 from causeway.llm.packing import boundaries, pack
 
 
@@ -42,8 +44,72 @@ def test_every_row_is_packed_once(spark, sf_dir, odd_docs, no_docs):
             assert {r["n_in_batch"] for r in members} == {len(members)}
 
 
-def test_long_lengths_are_rounded_up(spark):
+def by_all_pairs(hist, k):
+    """Least padding with at most k boundaries, by trying each last boundary."""
+    best = {0: [sum(n * (x - y) for y, n in hist[: j + 1]) for j, (x, _) in enumerate(hist)]}
+    for level in range(1, k):
+        before = best[level - 1]
+        best[level] = [min([before[j], *(before[i] + sum(n * (x - y) for y, n in hist[i + 1 : j + 1]) for i in range(j))]) for j, (x, _) in enumerate(hist)]
+    return best[k - 1][-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 10**6), st.integers(1, 10**4), min_size=1, max_size=30), st.integers(1, 8))
+def test_envelope_finds_the_optimum_of_wide_histograms(hist, k):
+    hist = sorted(hist.items())
+    edges = boundaries(np.array([x for x, _ in hist]), np.array([n for _, n in hist]), k)
+    assert len(edges) <= k and padding(hist, edges) == by_all_pairs(hist, k)
+
+
+def test_long_lengths_are_exact(spark):
     rows = spark.range(3000).withColumn("n", F.col("id") * 37 + 1)
     out = pack(rows.select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), "n"), length=F.col("n")).collect()
     assert len(out) == 3000 and all(r["n_tokens"] <= r["boundary"] for r in out)
-    assert max(r["boundary"] for r in out) <= 1.02 * 2999 * 37 + 2
+    assert max(r["boundary"] for r in out) == 2999 * 37 + 1
+    few = spark.createDataFrame([(i, "x", n) for i, n in enumerate([1025, 1501, 9001, 20001] * 5)], "doc_id long, text string, n long")
+    assert all(r["n_tokens"] == r["boundary"] for r in pack(few, length=F.col("n")).collect())
+
+
+def brute(rows, buckets, batch_tokens):
+    lengths = sorted({n for _, n in rows})
+    edges = boundaries(np.array(lengths), np.array([sum(m == n for _, m in rows) for n in lengths]), buckets)
+    out, held = [], {}
+    for d, n in rows:
+        held.setdefault(next(k for k, e in enumerate(edges) if e >= n), []).append((d is not None, d or 0, n))
+    for k, members in held.items():
+        fit = max(1, batch_tokens // edges[k])
+        for place, (known, d, n) in enumerate(sorted(members)):
+            first = place // fit * fit
+            out.append((d if known else None, n, k, edges[k], place // fit, place - first, min(fit, len(members) - first)))
+    return sorted(out, key=str)
+
+
+def test_whole_result(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 3)
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(300)]), int(rng.paretovariate(1) * 5)) for _ in range(500)] + [(7, 11)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, n int").withColumn("text", F.lit(None).cast("string"))
+    for k in (1, 4, 40):
+        assert sorted(map(tuple, pack(df, F.col("n"), k, 60).collect()), key=str) == brute(rows, k, 60)
+
+
+def test_query_and_its_sql(spark, sf_dir):
+    import duckdb
+
+    got = queries.QUERIES["op9_packing"](spark, sf_dir)
+    names = sorted(got.columns)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op9_packing"])
+    assert sorted(want.columns) == names and sorted(want.project(", ".join(names)).fetchall()) == sorted(tuple(r) for r in got.select(*names).collect())
+
+
+def test_padded_batches(spark):
+    tokens = spark.createDataFrame([(i, list(range(1, i % 7 + 2))) for i in range(40)], "doc_id long, ids array<int>")
+    packed = pack(tokens, F.size("ids"), 3, 20)
+    found = packing.padded_batches(packed, tokens, pad_id=-1).collect()
+    assert sum(len(r["doc_ids"]) for r in found) == 40
+    for r in found:
+        assert r["doc_ids"] == sorted(r["doc_ids"]) and len(r["ids"]) * r["boundary"] <= 20
+        for d, ids, n in zip(r["doc_ids"], r["ids"], r["lengths"]):
+            assert ids == [*range(1, d % 7 + 2)] + [-1] * (r["boundary"] - n) and n == d % 7 + 1
