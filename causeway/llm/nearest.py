@@ -22,14 +22,24 @@ from pyspark.sql.window import Window
 
 TILE_Q, TILE_C = 512, 4096
 QUERY_BLOCK, LEAST_BLOCK, MOST_BLOCK = 8192, 4096, 65536
+#: The least scale: smaller components are all error.
+TINY = np.finfo(np.float64).tiny
+#: Bytes of either side's vectors in a cell.
+CELL_BYTES = 1 << 26
+
+
+def norms(v: np.ndarray) -> np.ndarray:
+    """Lengths of the rows; their squares neither overflow nor vanish."""
+    top = np.maximum(np.abs(v).max(axis=1), TINY)
+    return top * np.linalg.norm(v / top[:, None], axis=1)
 
 
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, scales, norms of the quantised vectors, norms of the errors."""
-    scale = np.abs(v).max(axis=1) / 127
+    scale = np.maximum(np.abs(v).max(axis=1) / 127, TINY)
     codes = np.rint(v / scale[:, None]).astype(np.int8)
     back = codes * scale[:, None]
-    return codes, scale, np.linalg.norm(back, axis=1), np.linalg.norm(v - back, axis=1)
+    return codes, scale, norms(back), norms(v - back)
 
 
 def int8_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -41,12 +51,14 @@ def int8_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@np.errstate(over="ignore", invalid="ignore", under="ignore")
 def search_cell(qid, queries, cid, candidates, k):
     """For each query the k nearest of the cell: lists of (score, id), where a
-    candidate row with the query's id and vector is left out once."""
+    candidate row with the query's id and vector is left out once.  A bound that
+    overflows rules nothing out; a score that is no number comes after all others."""
     cq, sq, nq, eq = quantise(queries)
     cc, sc, nc, ec = quantise(candidates)
-    norm_c = np.linalg.norm(candidates, axis=1)
+    norm_c = norms(candidates)
     heaps: list[list[tuple[float, int]]] = [[] for _ in qid]
     own_left = [True] * len(qid)
     for q0 in range(0, len(qid), TILE_Q):
@@ -57,12 +69,13 @@ def search_cell(qid, queries, cid, candidates, k):
             slack = eq[q0:q1, None] * norm_c[None, c0:c1] + nq[q0:q1, None] * ec[None, c0:c1]
             slack += 1e-12 * (1 + np.abs(near))
             low = near - slack
+            low[np.isnan(low)] = -np.inf
             floor = np.full(q1 - q0, -np.inf)
             if c1 - c0 > k:  # one more than k: the query's own row may be among them
                 floor = np.partition(low, c1 - c0 - k - 1, axis=1)[:, c1 - c0 - k - 1]
             full = [h[0][0] if len(h) == k else -np.inf for h in heaps[q0:q1]]
             floor = np.maximum(floor, full)
-            qi, ci = np.nonzero(near + slack >= floor[:, None])
+            qi, ci = np.nonzero(~(near + slack < floor[:, None]))
             for s in range(0, len(qi), 65536):
                 a, b = qi[s : s + 65536] + q0, ci[s : s + 65536] + c0
                 scores = np.cumsum(queries[a] * candidates[b], axis=1)[:, -1]  # sums from left to right
@@ -71,7 +84,7 @@ def search_cell(qid, queries, cid, candidates, k):
                     if other == qid[i] and own_left[i] and np.array_equal(queries[i], candidates[j]):
                         own_left[i] = False
                         continue
-                    heap, entry = heaps[i], (score, -other)
+                    heap, entry = heaps[i], (score if score == score else -np.inf, -other)
                     if len(heap) < k:
                         heapq.heappush(heap, entry)
                     elif entry > heap[0]:
@@ -117,14 +130,16 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
     vector are one query, and its further copies are candidates.  Vectors are
     compared with those of equal length only.  Rows that
     :func:`usable_vectors` leaves out take no part.  Ties go to the smaller id.
+    A product that overflows to no number counts as minus infinity.
     An empty table gives no rows; further columns are ignored.
     """
     spark = rows.sparkSession
     vectors = usable_vectors(rows, id_col, vector_col)
-    counts = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
+    counts = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.max(F.size("v")).alias("dim")).first()
+    fit = max(1, CELL_BYTES // (8 * (counts["dim"] or 1)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = min(MOST_BLOCK, max(LEAST_BLOCK, counts["n"] // max(1, parts)))
-    q_blocks, c_blocks = max(1, -(-counts["q"] // QUERY_BLOCK)), max(1, -(-counts["n"] // size))
+    q_blocks, c_blocks = max(1, -(-counts["q"] // min(QUERY_BLOCK, fit))), max(1, -(-counts["n"] // min(size, fit)))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     queries = vectors.filter(is_query).distinct().select("id", "v", F.xxhash64("v").alias("qkey"), F.size("v").alias("dim"))

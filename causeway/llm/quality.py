@@ -25,6 +25,12 @@ from .common import arrow_batches, text_of, tidy
 from .labelled import fit_logistic, fold, logistic, training_sample
 
 PER_CLASS = 3000
+#: Lines that a training text may have: with PER_CLASS a bound on what goes to the driver.
+MOST_LINES = 20_000
+#: Places of padded chains held at once; a longer chain is alone.
+CHAIN_PLACES = 200_000
+#: Lines whose marks are spread to features at once.
+LINES_AT_ONCE = 20_000
 SYMBOLS = "#$%&*!|@^~=<>_{}[]\\+"
 
 #: Steps of each measure; a line gets one mark for each step that it reaches.
@@ -72,25 +78,54 @@ def measures(line: str, seen: set[str]) -> list[float]:
     ]
 
 
-def text_lines(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features and lengths of the lines that aren't blank; for a text without
+def text_marks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Own marks and lengths of the lines that aren't blank; for a text without
     any, those of one empty line."""
-    rows, lengths, seen = [], [], set()
+    blocks, rows, lengths, seen = [], [], [], set()
+    spread = lambda rows: np.array(rows)[:, WHICH] >= EDGES
     for line in text.split("\n"):
         if line and not line.isspace():
             rows.append(measures(line, seen))
             lengths.append(len(line))
             seen.add(line)
-    if not rows:
+            if len(rows) == LINES_AT_ONCE:
+                blocks.append(spread(rows))
+                rows = []
+    if not lengths:
         rows, lengths = [[0.0] * len(STEPS)], [1]
-    own = (np.array(rows)[:, WHICH] >= EDGES).astype(np.float32)
-    x = np.zeros((len(rows), WIDTH), np.float32)
+    if rows:
+        blocks.append(spread(rows))
+    return np.concatenate(blocks), np.array(lengths, np.float32)
+
+
+def features(own: np.ndarray) -> np.ndarray:
+    """Each line's marks, its neighbours', whether it is the first or the last, one."""
+    x = np.zeros((len(own), WIDTH), np.float32)
     x[:, :MARKS] = own
     x[1:, MARKS : 2 * MARKS] = own[:-1]
     x[:-1, 2 * MARKS : 3 * MARKS] = own[1:]
     x[0, -3] = x[-1, -2] = 1
     x[:, -1] = 1
-    return x, np.array(lengths, np.float32)
+    return x
+
+
+def text_lines(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and lengths of a text's lines."""
+    own, lengths = text_marks(text)
+    return features(own), lengths
+
+
+def potentials(own: np.ndarray, unary: np.ndarray) -> np.ndarray:
+    """``features(own) @ unary``, a slice of lines at a time."""
+    out = np.zeros(len(own))
+    for a in range(0, len(own), LINES_AT_ONCE):
+        b = min(a + LINES_AT_ONCE, len(own))
+        # A line more on each side, if there is one, has what the slice's ends need.
+        c, d = max(0, a - 1), min(len(own), b + 1)
+        x = features(own[c:d])
+        x[0, -3], x[-1, -2] = c == 0, d == len(own)
+        out[a:b] = (x @ unary)[a - c : b - c]
+    return out
 
 
 @dataclass
@@ -103,19 +138,27 @@ class LineField:
     document: np.ndarray
 
     def marginals(self, docs: list[np.ndarray]) -> tuple[list[np.ndarray], list[float], np.ndarray]:
-        """For each text P(line is bad) by line, log P(all lines are good), and the
-        expected number of each move."""
+        """For each text's features P(line is bad) by line, log P(all lines are
+        good), and the expected number of each move."""
+        return self.chains([x @ self.unary for x in docs])
+
+    def chains(self, docs: list[np.ndarray]) -> tuple[list[np.ndarray], list[float], np.ndarray]:
+        """The same from the lines' potentials.  Chains of like lengths are padded and
+        handled together, up to 128 and ``CHAIN_PLACES``."""
         order = sorted(range(len(docs)), key=lambda i: len(docs[i]))
         bad: list = [None] * len(docs)
         all_good = np.zeros(len(docs))
         expected = np.zeros((len(docs), 2, 2))
-        for a in range(0, len(order), 128):
-            block = order[a : a + 128]
+        a = 0
+        while a < len(order):
+            b = a + 1
+            while b < min(a + 128, len(order)) and (b + 1 - a) * len(docs[order[b]]) <= CHAIN_PLACES:
+                b += 1
+            block, a = order[a:b], b
             n = np.array([len(docs[i]) for i in block])
-            t_max = int(n.max())
-            u = np.zeros((len(block), t_max))
+            u = np.zeros((len(block), int(n.max())))
             for k, i in enumerate(block):
-                u[k, : n[k]] = docs[i] @ self.unary
+                u[k, : n[k]] = docs[i]
             p, good, moves = _chain(u, n, self.moves)
             for k, i in enumerate(block):
                 bad[i] = p[k, : n[k]]
@@ -198,14 +241,17 @@ def prior_model() -> LineField:
 @tidy
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [text_lines(t) for t in batch.column("text").to_pylist()]
-        packed = [pickle.dumps((np.packbits(x.astype(bool), axis=1), n)) for x, n in found]
+        batch = batch.filter(pa.array([t.count("\n") < MOST_LINES for t in batch.column("text").to_pylist()], pa.bool_()))
+        found = [text_marks(t) for t in batch.column("text").to_pylist()]
+        packed = [pickle.dumps((np.packbits(x, axis=1), n)) for x, n in found]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary()), batch.column("y"), batch.column("weight")], ["id", "lines", "y", "weight"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> LineField:
     """A model from at most ``per_class`` training rows of either class, weighted
-    to the shares of all labels, whose line marks (a few bits a line) go to the driver."""
+    to the shares of all labels, whose line marks (a few bits a line) go to the
+    driver.  Sampled texts of more than ``MOST_LINES`` lines are left out of the
+    fit; scoring knows no such bound."""
     arrow_batches(docs.sparkSession)
     sample = training_sample(docs, labels, "quality", per_class, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -214,15 +260,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     if len(set(y.tolist())) < 2:
         return prior_model()
     lines = [pickle.loads(r["lines"]) for r in rows]
-    return train([np.unpackbits(x, axis=1, count=WIDTH).astype(np.float32) for x, _ in lines], [n for _, n in lines], y, weight=np.array([r["weight"] for r in rows]))
+    return train([features(np.unpackbits(x, axis=1, count=MARKS)) for x, _ in lines], [n for _, n in lines], y, weight=np.array([r["weight"] for r in rows]))
 
 
 def _score(model: LineField, threshold: float):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_lines(t) for t in batch.column("text").to_pylist()]
-            p, _, _ = model.marginals([x for x, _ in found])
+            found = [text_marks(t) for t in batch.column("text").to_pylist()]
+            p, _, _ = model.chains([potentials(own, model.unary) for own, _ in found])
             shares = np.array([bad_share(a, n) for a, (_, n) in zip(p, found)])
             score = logistic(share_features(shares) @ model.document[:-1] + model.document[-1])
             names = ["doc_id", "held_out", "score", "predicted", "bad_share"]
@@ -235,7 +281,8 @@ def _score(model: LineField, threshold: float):
 def score_quality(docs: DataFrame, model: LineField, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted, bad_share`` of every row.
 
-    A null text is empty; a text without words is scored as one empty line.
+    A null text is empty; a text without words is scored as one empty line; a
+    very long one is scored whole, its lines' marks held in slices.
     Ids only decide ``held_out`` (a null id counts as an empty one) and may be
     null or repeat.  An empty table gives no rows; further columns are ignored."""
     arrow_batches(docs.sparkSession)

@@ -39,6 +39,7 @@ class AgendaEncoder:
 
     #: Parts kept; beyond it the older half goes, but for the batch at hand.
     LIMIT, ATOMS = 1_400_000, 600_000
+    PLACE_BITS = 24
 
     def __init__(self, path: str, check_every: int = 20) -> None:
         import sentencepiece
@@ -68,11 +69,11 @@ class AgendaEncoder:
         """Ids of a text whose spaces are marks already.
 
         An agenda entry is one number: rank of the joined piece, then the left
-        and the right symbol's place, 24 bits each."""
+        and the right symbol's place, 24 bits each, or 40 in a longer part."""
         symbols: list[str] = list(text)
         n = len(symbols)
-        if n >= 1 << 24:
-            raise ValueError("a part has too many characters")
+        bits = self.PLACE_BITS if n < 1 << self.PLACE_BITS else 40
+        twice, mask = 2 * bits, (1 << bits) - 1
         ranks = self.ranks
         rank_of = ranks.get
         agenda = []
@@ -80,18 +81,18 @@ class AgendaEncoder:
         for a, b in zip(text, text[1:]):
             rank = rank_of(a + b)
             if rank is not None:
-                agenda.append(rank << 48 | i << 24 | i + 1)
+                agenda.append(rank << twice | i << bits | i + 1)
             i += 1
         if agenda:
             heapify(agenda)
             before, after = list(range(-1, n)), [*range(1, n), -1]
             while agenda:
                 entry = heappop(agenda)
-                left, right = entry >> 24 & 0xFFFFFF, entry & 0xFFFFFF
+                left, right = entry >> bits & mask, entry & mask
                 if after[left] != right:
                     continue
                 pair = symbols[left] + symbols[right]
-                if rank_of(pair) != entry >> 48:
+                if rank_of(pair) != entry >> twice:
                     continue  # a symbol has grown since
                 symbols[left], symbols[right] = pair, ""
                 follow = after[left] = after[right]
@@ -100,12 +101,12 @@ class AgendaEncoder:
                     before[follow] = left
                     rank = rank_of(pair + symbols[follow])
                     if rank is not None:
-                        heappush(agenda, rank << 48 | left << 24 | follow)
+                        heappush(agenda, rank << twice | left << bits | follow)
                 lead = before[left]
                 if lead >= 0:
                     rank = rank_of(symbols[lead] + pair)
                     if rank is not None:
-                        heappush(agenda, rank << 48 | lead << 24 | left)
+                        heappush(agenda, rank << twice | lead << bits | left)
         out: list[int] = []
         ids = self.ids
         for s in symbols:
@@ -203,8 +204,9 @@ def sentencepiece_encode(docs: DataFrame, model: str, id_col: str = "doc_id", te
     """One row per input row: ``doc_id, n_tokens, ids_sha256, decoded_sha256``
     and, if asked for, ``ids`` and ``decoded``; an end id follows each text.
 
-    Null texts are empty and get the end id alone.  Ids may be null or repeat.
-    Other columns are ignored.  One text in ``check_every`` is encoded by the
+    Null texts are empty and get the end id alone.  A very long text is encoded
+    whole; its longest part without a boundary takes some 300 bytes a character
+    while its agenda runs.  Ids may be null or repeat.  Other columns are ignored.  One text in ``check_every`` is encoded by the
     library as well; a difference raises ValueError."""
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))

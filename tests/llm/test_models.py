@@ -4,7 +4,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from causeway.llm import quality, toxicity
+from causeway.llm import quality, queries, toxicity
 from causeway.llm.labelled import fit_logistic, training_sample
 from causeway.llm.quality import LineField
 
@@ -67,6 +67,54 @@ def test_chain_against_enumeration():
         assert np.allclose(e, np.tensordot(w, np.array(steps, float), 1))
 
 
+def test_slices_and_blocks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = ["\n".join(" ".join(rng.choice(["Aa", "b", "C!", "|", "7"], size=rng.integers(1, 9))) for _ in range(n)) for n in (1, 2, 3, 7, 8, 50)]
+    model = LineField(rng.normal(size=quality.WIDTH), rng.normal(size=(2, 2)), np.zeros(3))
+    want, good, _ = model.marginals([quality.text_lines(t)[0] for t in texts])
+    monkeypatch.setattr(quality, "CHAIN_PLACES", 10)
+    for at_once in (1, 2, 3, 7):
+        monkeypatch.setattr(quality, "LINES_AT_ONCE", at_once)
+        got, again, _ = model.chains([quality.potentials(quality.text_marks(t)[0], model.unary) for t in texts])
+        assert np.allclose(good, again) and all(np.allclose(a, b) for a, b in zip(want, got))
+
+
+def test_quality_of_a_text_of_many_lines(spark):
+    """One long text among short ones: padding them to its length would take gigabytes."""
+    rows = [(i, "A line of words, as it should be.") for i in range(127)] + [(127, "word\n" * 40_000)]
+    found = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), quality.prior_model()).collect()
+    assert len(found) == 128 and len({r["score"] for r in found if r["doc_id"] < 127}) == 1
+
+
+def brute_share(text, model):
+    """Length-weighted marginals by dense sums over two states a line."""
+    x, lengths = quality.text_lines(text)
+    u = x @ model.unary
+    front, back = [np.array([1.0, np.exp(u[0])])], [np.ones(2)]
+    for v in u[1:]:
+        front.append((front[-1] / front[-1].sum() @ np.exp(model.moves)) * [1.0, np.exp(v)])
+    for v in u[:0:-1]:
+        back.append(np.exp(model.moves) @ (back[-1] / back[-1].sum() * [1.0, np.exp(v)]))
+    both = np.array(front) * np.array(back[::-1])
+    return float((both[:, 1] / both.sum(axis=1) * lengths).sum() / lengths.sum())
+
+
+def test_whole_query_of_quality(spark, sf_dir):
+    """Each row of the query from the fitted model by other sums."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op2_quality"](spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        share = min(max(brute_share(r["text"] or "", model), 1e-4), 1 - 1e-4)
+        w = model.document
+        score = 1 / (1 + np.exp(-(w[0] * np.log(share / (1 - share)) + w[1] * share + w[2])))
+        found = got[r["doc_id"]]
+        assert abs(found["score"] - score) < 1e-6 and found["held_out"] == (crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert found["predicted"] == int(found["score"] >= 0.3)
+
+
 def test_toxicity(spark, real, odd_docs, no_docs):
     docs, labels = real
     model = toxicity.fit_toxicity(docs, labels)

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from causeway.llm import nearest as module
 from causeway.llm.nearest import int8_product, nearest, search_cell
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id string, v int, qkey int"
@@ -55,3 +56,25 @@ def test_tiles_against_brute_force():
         assert [i for _, i in near] == np.lexsort((np.arange(9000), -scores))[:7].tolist()
     a = rng.integers(-127, 128, size=(3, 2500)).astype(np.int8)
     assert (int8_product(a, a) == a.astype(int) @ a.astype(int).T).all()
+
+
+def test_extreme_components():
+    """Bounds that vanish or overflow lose no neighbour."""
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=(300, 4)) * 10.0 ** rng.choice([-322, -310, -200, -30, 0, 150, 153], size=(300, 1))
+    c[::7] = 5e-324
+    c[5] = [1e308, -1e308, 1e308, 1.0]
+    with np.errstate(all="ignore"):
+        for part in (c, c[:, :1]):
+            found = search_cell(list(range(-300, 0)), part, np.arange(300), part, 9)
+            for x, near in zip(part, found):
+                scores = np.cumsum(x * part, axis=1)[:, -1]
+                scores[np.isnan(scores)] = -np.inf
+                assert [i for _, i in near] == np.lexsort((np.arange(300), -scores))[:9].tolist()
+
+
+def test_small_cells(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(module, "CELL_BYTES", 20_000)
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    got = sorted(tuple(r) for r in nearest(df, F.col("id") % 20 == 0).collect())
+    assert got == brute([(r["vec_id"], r["embedding"]) for r in df.collect()], 20)

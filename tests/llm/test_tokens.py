@@ -43,6 +43,13 @@ def test_cached_encoders_equal_the_libraries(texts):
 BYTES, PIECES = ByteLevelEncoder(BYTE), AgendaEncoder(PIECE, check_every=1)
 
 
+def test_parts_too_long_for_short_places(monkeypatch):
+    monkeypatch.setattr(AgendaEncoder, "PLACE_BITS", 2)
+    fresh = AgendaEncoder(PIECE, check_every=1)
+    for text in ("international", "x" * 50, "日本語日本語", "a-b-c--d"):
+        assert fresh.encode_batch([text])[0][0] == fresh.library.encode(text)
+
+
 def expected_starts(rows):
     from tokenizers import Tokenizer
 
