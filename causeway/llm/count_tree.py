@@ -48,14 +48,20 @@ def unpack(packed: bytes) -> np.ndarray:
 
 def fold(counts: np.ndarray, groups: int) -> np.ndarray:
     """Counts (in the last axis) by fewer groups; both numbers are powers of two."""
-    return counts.reshape(*counts.shape[:-1], -1, groups).sum(axis=-2) if counts.shape[-1] > groups else counts
+    return counts.reshape(*counts.shape[:-1], -1, groups).sum(axis=-2, dtype=np.int32) if counts.shape[-1] > groups else counts
+
+
+def shared_at_most(a: np.ndarray, b: np.ndarray) -> int:
+    """The sum of the smaller counts."""
+    least = min(len(a), len(b))
+    return int(np.minimum(fold(a, least), fold(b, least)).sum(dtype=np.int64))
 
 
 def vectors(packed: list[bytes]) -> np.ndarray:
     """The points, all by as many groups as the one with the fewest has."""
-    found = [unpack(b).astype(np.int32) for b in packed]
+    found = [unpack(b) for b in packed]
     least = min(map(len, found), default=LEAST_GROUPS)
-    return np.array([fold(v, least) for v in found]).reshape(-1, least)
+    return np.array([fold(v, least) for v in found], None if found else np.uint8).reshape(-1, least)
 
 
 def least_overlap(a, b, percent: int):
@@ -69,30 +75,36 @@ class Node:
     top: np.ndarray  # greatest count by group
     least: int
     most: int
+    low: int  # least and greatest label
+    high: int
     rows: np.ndarray | None = None
     below: list["Node"] = field(default_factory=list)
 
 
 class CountTree:
-    def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
-        """Leaves hold rows that follow each other in order of size and then of
-        their heaviest group, upper nodes hold ``FANOUT`` nodes."""
-        self.points, self.sizes = points, sizes
-        order = np.lexsort((points.argmax(axis=1), sizes)) if len(sizes) else np.zeros(0, int)
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None = None) -> None:
+        """Leaves hold rows that follow each other in order of label, of size and then of
+        their heaviest group, upper nodes hold ``FANOUT`` nodes.  With ``labels``
+        only pairs of rows with different ones are looked for."""
+        self.points, self.sizes, self.labelled = points, sizes, labels is not None
+        self.labels = labels if self.labelled else np.zeros(len(sizes), int)
+        order = np.lexsort((points.argmax(axis=1), sizes, self.labels)) if len(sizes) else np.zeros(0, int)
         level = []
         for i in range(0, len(order), FANOUT):
             rows = order[i : i + FANOUT]
-            level.append(Node(points[rows].max(axis=0), int(sizes[rows].min()), int(sizes[rows].max()), rows))
+            n, own = sizes[rows], self.labels[rows]
+            level.append(Node(points[rows].max(axis=0), int(n.min()), int(n.max()), int(own.min()), int(own.max()), rows))
         while len(level) > 1:
             level = [self._parent(level[i : i + FANOUT]) for i in range(0, len(level), FANOUT)]
         self.root = level[0] if level else None
 
     @staticmethod
     def _parent(nodes: list[Node]) -> Node:
-        return Node(np.max([n.top for n in nodes], axis=0), min(n.least for n in nodes), max(n.most for n in nodes), None, nodes)
+        low, high = min(n.low for n in nodes), max(n.high for n in nodes)
+        return Node(np.max([n.top for n in nodes], axis=0), min(n.least for n in nodes), max(n.most for n in nodes), low, high, None, nodes)
 
     def folded(self, groups: int) -> "CountTree":
-        return self if self.points.shape[1] == groups else CountTree(fold(self.points, groups), self.sizes)
+        return self if self.points.shape[1] == groups else CountTree(fold(self.points, groups), self.sizes, self.labels if self.labelled else None)
 
     def pairs(self, other: "CountTree", percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows of both trees whose bound reaches the least overlap.  Joined with
@@ -107,13 +119,17 @@ class CountTree:
             # Sizes so far apart that even a subset is too small a share.
             if 100 * a.most < percent * b.least or 100 * b.most < percent * a.least:
                 continue
-            if np.minimum(a.top, b.top).sum() < least_overlap(a.least, b.least, percent):
+            if self.labelled and a.low == a.high == b.low == b.high:
+                continue
+            if np.minimum(a.top, b.top).sum(dtype=np.int64) < least_overlap(a.least, b.least, percent):
                 continue
             if a.rows is not None and b.rows is not None:
                 x, y = self.points[a.rows], other.points[b.rows]
-                bound = np.minimum(x[:, None, :], y[None, :, :]).sum(axis=2)
+                bound = np.minimum(x[:, None, :], y[None, :, :]).sum(axis=2, dtype=np.int64)
                 n, m = self.sizes[a.rows][:, None], other.sizes[b.rows][None, :]
                 ok = (bound >= least_overlap(n, m, percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                if self.labelled:
+                    ok &= self.labels[a.rows][:, None] != other.labels[b.rows][None, :]
                 if a is b:
                     ok &= np.triu(np.ones_like(ok), 1)
                 i, j = np.nonzero(ok)
@@ -129,9 +145,10 @@ class CountTree:
         return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
-def pairs_across(packed: list[bytes], sizes: np.ndarray, split: int | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def pairs_across(packed: list[bytes], sizes: np.ndarray, split: int | None, percent: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of sets whose bound reaches the least overlap: among all of them, or
-    with ``split`` between those before it and the others.  There is a tree for
+    with ``split`` between those before it and the others; with ``labels`` only of
+    different ones.  There is a tree for
     each number of groups, joined with that of the same number and of the next one; sets
     further apart differ too much in size."""
     trees: list[dict[int, tuple[np.ndarray, CountTree]]] = []
@@ -139,7 +156,7 @@ def pairs_across(packed: list[bytes], sizes: np.ndarray, split: int | None, perc
         by_groups: dict[int, list[int]] = {}
         for i in rows:
             by_groups.setdefault(groups_of(packed[i]), []).append(i)
-        trees.append({g: (np.array(r), CountTree(vectors([packed[i] for i in r]), sizes[r])) for g, r in by_groups.items()})
+        trees.append({g: (np.array(r), CountTree(vectors([packed[i] for i in r]), sizes[r], None if labels is None else labels[r])) for g, r in by_groups.items()})
     left, right = [np.zeros(0, int)], [np.zeros(0, int)]
     for g, (rows, tree) in trees[0].items():
         for other in (g, 2 * g) if split is None else (g // 2, g, 2 * g):

@@ -17,9 +17,10 @@ Documents with equal shingle sets form a class; classes are joined.
    with each other unless both hold one and the same component: each page is an
    R-tree over count vectors, and two trees are joined from their roots down.
    Of each two components that a join of pages finds one pair is verified,
-   and what links merges.  This is repeated until nothing links.
-5. Then all pairs of step 4 that were not verified yet are.  No pair is dropped,
-   and pairs inside a component need no check, as they change nothing.
+   and what links merges.
+5. Step 4 is repeated for the blocks in which a pair was found, now with all pairs
+   between components that were not verified yet.  No pair is dropped, and
+   pairs inside a component need no check, as they change nothing.
 
 Pairs between components are few once components have grown, so a large group
 of near copies does not cost the square of its size.  Results are exact up to
@@ -40,14 +41,16 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, keep_rows, materialise, shuffle_partitions, text_of, tidy
 from .components import components
-from .count_tree import count_vector, fold, least_overlap, pairs_across, unpack
+from .count_tree import count_vector, least_overlap, pairs_across, shared_at_most, unpack
 from .shingles import WORDS, shingle_hashes, shingle_set
 
 PERCENT = 75
 #: Sets of a page, a part of a block that one task holds as a tree.
-PAGE = 512
+PAGE = 4096
 #: Pairs with one set in common that a task verifies together.
 VERIFIED = 256
+#: Rows (of five numbers) asked for by a verification that are broadcast to the texts; more are joined by a shuffle.
+ASKED = 50_000
 #: Postings that a task turns into blocks.
 POSTINGS = 2_000_000
 #: Frequent shingles that the order knows: their number bounds what is broadcast.
@@ -209,22 +212,24 @@ def _pair_batch(a, b) -> pa.RecordBatch:
 
 def _join_pages(percent: int, every: bool):
     """Pairs between components that may be links, from rows of one join of pages
-    after the other (``block, p, q``): all, or of each two components the first."""
+    after the other (``block, p, q``): all, or of each two components the pair
+    whose bound is closest."""
 
     def join(rows: list[tuple]) -> pa.RecordBatch:
         names, groups, sizes = (np.array([r[k] for r in rows]) for k in (4, 5, 6))
         packed, split = [r[7] for r in rows], sum(r[3] == 0 for r in rows)
-        i, j = pairs_across(packed, sizes, split if rows[0][1] != rows[0][2] else None, percent)
-        differ = groups[i] != groups[j]
-        i, j = i[differ], j[differ]
+        i, j = pairs_across(packed, sizes, split if rows[0][1] != rows[0][2] else None, percent, groups)
         i, j = np.where(names[i] < names[j], i, j), np.where(names[i] < names[j], j, i)
         if not every and len(i):
+            points = [unpack(v) for v in packed]
+            shared = [shared_at_most(points[x], points[y]) for x, y in zip(i.tolist(), j.tolist())]
             low, high = np.minimum(groups[i], groups[j]), np.maximum(groups[i], groups[j])
-            order = np.lexsort((names[j], names[i], high, low))
+            order = np.lexsort((names[j], names[i], -np.array(shared) / (sizes[i] + sizes[j]), high, low))
             low, high = low[order], high[order]
             first = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
             i, j = i[order[first]], j[order[first]]
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (names[i], names[j], groups[i], groups[j])], ["a", "b", "ga", "gb"])
+        columns = (np.full(len(i), rows[0][0], np.int64), names[i], names[j], groups[i], groups[j])
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in columns], ["block", "a", "b", "ga", "gb"])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,12 +255,7 @@ def _bound(percent: int):
         for batch in batches:
             if not len(batch):
                 continue
-            shared = []
-            for a, b in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist()):
-                a, b = unpack(a), unpack(b)
-                least = min(len(a), len(b))
-                shared.append(int(np.minimum(fold(a.astype(np.int64), least), fold(b.astype(np.int64), least)).sum()))
-            shared = np.array(shared)
+            shared = np.array([shared_at_most(unpack(a), unpack(b)) for a, b in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist())])
             keep = shared >= least_overlap(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
             yield _pair_batch(batch.column("a").to_numpy()[keep], batch.column("b").to_numpy()[keep])
 
@@ -349,7 +349,8 @@ class _Join:
         asked = pairs.select("a", "b", "salt", F.col("b").alias("class"))
         asked = asked.unionByName(pairs.select("a", F.lit(None).cast("long").alias("b"), "salt", F.col("a").alias("class")).distinct())
         asked = materialise(asked.join(copies, "class").select("a", "b", "salt", "d", "v"), "verify-asked")
-        rows = asked.join(texts, ["d", "v"]).select("a", "salt", "b", "text")
+        few = asked.limit(ASKED + 1).count() <= ASKED
+        rows = (F.broadcast(asked) if few else asked).join(texts, ["d", "v"]).select("a", "salt", "b", "text")
         rows = rows.repartition(shuffle_partitions(self.spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return materialise(rows.mapInArrow(_verify(self.size, self.percent), "a long, b long"), "links")
 
@@ -359,17 +360,18 @@ class _Join:
         placed = self.members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         placed = materialise(placed.select("block", "m", "class", "component"), "placed")
         mixed = placed.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("block")
-        # Other blocks stay within a component for good.
         placed = materialise(placed.join(materialise(mixed, "mixed-blocks"), "block"), "mixed-rows")
-        self.members = placed.drop("component")
         if placed.isEmpty():
             return None
         rows = placed.join(self.points, "class").select("block", "m", "class", "component", "n", "vector")
         asked = self.pages(rows)
-        schema = "a long, b long, ga long, gb long"
+        schema = "block long, a long, b long, ga long, gb long"
         columns = ["block", "p", "q", "side", "class", "component", "n", "vector"]
         asked = asked.select(*columns).repartition(shuffle_partitions(self.spark), "block", "p", "q").sortWithinPartitions("block", "p", "q", "side", "class")
-        found = asked.mapInArrow(_join_pages(self.percent, every), schema).dropDuplicates(["a", "b"])
+        found = materialise(asked.mapInArrow(_join_pages(self.percent, every), schema), "page-joins")
+        # Where no pair was found there is none when components have grown.
+        self.members = placed.drop("component").join(found.select("block").distinct(), "block", "left_semi")
+        found = found.dropDuplicates(["a", "b"])
         return materialise(found.join(known, ["a", "b"], "left_anti").select("a", "b", "ga", "gb"), "cross-pairs")
 
     def pages(self, rows: DataFrame) -> DataFrame:
@@ -417,15 +419,14 @@ class _Join:
         labels = components(self.verify(known))
         # In a block of two the star has seen the only pair.
         self.members = self.blocks.filter("m > 2").select("block", "m", "class").distinct()
-        last = False
-        while (cross := self.between(labels, known, last)) is not None:
+        for every in (False, True):
+            cross = self.between(labels, known, every)
+            if cross is None:
+                break
             found = self.verify(cross.select("a", "b"))
             if not found.isEmpty():
                 labels = self.merged(labels, cross, found)
-            if last:
-                break
             known = known.unionByName(cross.select("a", "b"))
-            last = found.isEmpty()
         # The smallest document id of all classes in a component.
         least = self.docs.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
         labelled = least.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))

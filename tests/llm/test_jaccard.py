@@ -98,6 +98,9 @@ def test_tree_finds_every_similar_pair():
     one, two = CountTree(points[:100], sizes[:100]), CountTree(points[100:], sizes[100:])
     across = {(i, j + 100) for i, j in zip(*map(np.ndarray.tolist, one.pairs(two, 75)))}
     assert {(i, j) for i, j in true if i < 100 <= j} <= across
+    labels = np.arange(len(sizes)) % 3
+    apart = {tuple(sorted(p)) for p in zip(*map(np.ndarray.tolist, pairs_across(packed, sizes, None, 75, labels)))}
+    assert {(i, j) for i, j in true if labels[i] != labels[j]} <= apart and all(labels[i] != labels[j] for i, j in apart)
     between = set(zip(*map(np.ndarray.tolist, pairs_across(packed, sizes, 100, 75))))
     assert {(i, j) for i, j in true if i < 100 <= j} <= between and all(i < 100 <= j for i, j in between)
 
@@ -113,10 +116,11 @@ def edited(rng, words, share):
     return [rng.choice("pqrstuvw") + str(rng.randint(0, 99)) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("page", [3, 512])
+@pytest.mark.parametrize("page", [3, 4096])
 def test_near_copies(spark, monkeypatch, page):
     monkeypatch.setattr(jaccard, "PAGE", page)
     monkeypatch.setattr(jaccard, "VERIFIED", 4)
+    monkeypatch.setattr(jaccard, "ASKED", page)
     monkeypatch.setattr(jaccard, "FREQUENT", 40)
     rng = random.Random(page)
     passage = [f"shared{i}" for i in range(30)]
