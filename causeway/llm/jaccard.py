@@ -7,8 +7,8 @@ Documents with equal shingle sets form a class; classes are joined.
 2. Shingles are put into one order for all documents, frequent ones last.  Two
    sets that share 75 % of their union share a shingle among the first 25 % of
    each, so a second pass deals those to partitions, packed: keys are sorted
-   and stored as differences.  Sets that share such a key form a block; blocks
-   with the same members count once.
+   and stored as differences.  Sets that share such a key and are of like
+   sizes form a block; blocks with the same members count once.
 3. The first set of a block is paired with its others; pairs whose count
    vectors bound the overlap high enough are verified on the texts' shingles.
    Links give components.
@@ -54,11 +54,11 @@ ASKED = 50_000
 #: Postings that a task turns into blocks.
 POSTINGS = 2_000_000
 #: Frequent shingles that the order knows: their number bounds what is broadcast.
-FREQUENT = 65_536
-#: A shingle is reported by a task when that many of its documents hold it.
-LOCAL_FREQUENT = 4
-#: Documents whose shingles a task counts together.
-COUNTED = 2048
+FREQUENT = 262_144
+#: A shingle is reported by a task when that many of its sets hold it.
+LOCAL_FREQUENT = 3
+#: Shingles of different sets that a task counts together.
+COUNTED = 4_000_000
 
 
 def _profile(size: int, seed: int):
@@ -66,7 +66,8 @@ def _profile(size: int, seed: int):
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: dict[int, np.ndarray] = {}
+        total = 0
         schema = ["doc_id", "version", "class", "check", "n", "vector", "key", "count"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
@@ -74,7 +75,7 @@ def _profile(size: int, seed: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], schema)
 
         def frequent() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            keys, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
             often = counts >= LOCAL_FREQUENT
             none = [None] * int(often.sum())
             return record([none] * 6 + [keys[often].view(np.int64), counts[often]])
@@ -90,34 +91,38 @@ def _profile(size: int, seed: int):
                 cols[3].append(count_vector(h))
             none = [None] * len(found)
             yield record([batch.column("doc_id"), batch.column("version"), *cols, none, none])
-            held += found
-            if len(held) >= COUNTED:
+            for name, h in zip(cols[0], found):
+                if name not in held:
+                    held[name], total = h, total + len(h)
+            if total >= COUNTED:
                 yield frequent()
-                held = []
+                held, total = {}, 0
         if held:
             yield frequent()
 
     return run
 
 
-def pack_postings(keys: np.ndarray, sets: np.ndarray) -> bytes:
+def pack_postings(keys: np.ndarray, sets: np.ndarray, sizes: np.ndarray | None = None) -> bytes:
     """Keys with their sets, in order of keys, as differences and places in a
-    table of sets, byte by byte so that Spark's compression finds equal ones."""
+    table of sets and their sizes, byte by byte so that Spark's compression finds equal ones."""
     order = np.argsort(keys, kind="stable")
     steps = np.diff(keys[order], prepend=np.uint64(0))
-    known, places = np.unique(sets[order], return_inverse=True)
+    known, first, places = np.unique(sets[order], return_index=True, return_inverse=True)
+    own = (np.zeros(len(sets)) if sizes is None else sizes)[order][first].astype(np.uint32)
     planes = [steps.view(np.uint8).reshape(-1, 8).T[k].tobytes() for k in range(8)]
     places = places.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
-    return b"".join([struct.pack("<II", len(keys), len(known)), known.tobytes(), *planes, *[places[k].tobytes() for k in range(4)]])
+    return b"".join([struct.pack("<II", len(keys), len(known)), known.tobytes(), *planes, *[places[k].tobytes() for k in range(4)], own.tobytes()])
 
 
-def unpack_postings(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack_postings(data: bytes, with_sizes: bool = False) -> tuple[np.ndarray, ...]:
     n, m = struct.unpack_from("<II", data)
     known = np.frombuffer(data, np.int64, m, 8)
     planes = np.frombuffer(data, np.uint8, 12 * n, 8 + 8 * m).reshape(12, n)
     steps = np.ascontiguousarray(planes[:8].T).view(np.uint64).ravel()
     places = np.ascontiguousarray(planes[8:].T).view(np.uint32).ravel()
-    return np.cumsum(steps, dtype=np.uint64), known[places]
+    out = np.cumsum(steps, dtype=np.uint64), known[places]
+    return (*out, np.frombuffer(data, np.uint32, m, 8 + 8 * m + 12 * n)[places].astype(np.int64)) if with_sizes else out
 
 
 def prefix(h: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
@@ -142,18 +147,19 @@ def _postings(size: int, seed: int, percent: int, parts: int, frequent: np.ndarr
         seen: set[int] = set()
         keys: list[np.ndarray] = []
         sets: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal keys, sets, held
+            nonlocal keys, sets, sizes, held
             # Short hashes come first in every set; a product spreads them evenly.
             k = np.concatenate(keys) * np.uint64(0xD6E8FEB86659FD93)
-            s = np.concatenate(sets)
+            s, n = np.concatenate(sets), np.concatenate(sizes)
             part = ((k >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             names, starts = np.unique(part[order], return_index=True)
-            blobs = [pack_postings(k[i], s[i]) for i in np.split(order, starts[1:])]
-            keys, sets, held = [], [], 0
+            blobs = [pack_postings(k[i], s[i], n[i]) for i in np.split(order, starts[1:])]
+            keys, sets, sizes, held = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["part", "postings"])
 
         for batch in batches:
@@ -167,6 +173,7 @@ def _postings(size: int, seed: int, percent: int, parts: int, frequent: np.ndarr
                 p = prefix(h, frequent, rank, percent)
                 keys.append(p)
                 sets.append(np.full(len(p), name, np.int64))
+                sizes.append(np.full(len(p), len(h), np.int64))
                 held += len(p)
             if held > 1_000_000:
                 yield flush()
@@ -176,33 +183,35 @@ def _postings(size: int, seed: int, percent: int, parts: int, frequent: np.ndarr
     return run
 
 
-@tidy
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets that share a key: ``block`` names the members, ``m`` counts them,
-    ``first`` is the smallest."""
-    found = [unpack_postings(b) for batch in batches for b in batch.column("postings").to_pylist()]
-    if not found:
-        return
-    keys, sets = np.concatenate([k for k, _ in found]), np.concatenate([s for _, s in found])
-    order = np.lexsort((sets, keys))
-    keys, sets = keys[order], sets[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])
-    keys, sets = keys[new], sets[new]
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    sizes = np.diff(np.append(starts, len(keys)))
-    members = sets.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)
-    members = (members ^ (members >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    names = np.add.reduceat(members ^ (members >> np.uint64(32)), starts)
-    several = np.flatnonzero(sizes > 1)
-    _, once = np.unique(names[several], return_index=True)
-    for a in range(0, len(once), 4096):
-        chosen = several[once[a : a + 4096]]
-        rows = np.concatenate([np.arange(starts[c], starts[c] + sizes[c]) for c in chosen])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(v, sizes[chosen])) for v in (names[chosen].view(np.int64), sizes[chosen], sets[starts[chosen]])] + [pa.array(sets[rows])],
-            ["block", "m", "first", "class"],
-        )
+def _blocks(percent: int):
+    """Sets that share a key and are of like sizes: ``block`` names the members,
+    ``m`` counts them, ``first`` is the smallest.  In order of size, a set that is too
+    small a share of the next one is so of all that follow."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [unpack_postings(b, True) for batch in batches for b in batch.column("postings").to_pylist()]
+        if not found:
+            return
+        keys, sets, n = (np.concatenate([f[k] for f in found]) for k in range(3))
+        order = np.lexsort((sets, n, keys))
+        keys, sets, n = keys[order], sets[order], n[order]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1]))
+        keys, sets, n = keys[new], sets[new], n[new]
+        starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (100 * n[:-1] < percent * n[1:])))
+        sizes = np.diff(np.append(starts, len(keys)))
+        members = sets.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)
+        members = (members ^ (members >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        names, first = np.add.reduceat(members ^ (members >> np.uint64(32)), starts), np.minimum.reduceat(sets, starts)
+        several = np.flatnonzero(sizes > 1)
+        _, once = np.unique(names[several], return_index=True)
+        for a in range(0, len(once), 4096):
+            chosen = several[once[a : a + 4096]]
+            rows = np.concatenate([np.arange(starts[c], starts[c] + sizes[c]) for c in chosen])
+            columns = [np.repeat(v, sizes[chosen]) for v in (names[chosen].view(np.int64), sizes[chosen], first[chosen])]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*columns, sets[rows])], ["block", "m", "first", "class"])
+
+    return run
 
 
 def _pair_batch(a, b) -> pa.RecordBatch:
@@ -324,7 +333,7 @@ class _Join:
         parts = max(shuffle_partitions(self.spark), int(total) // POSTINGS + 1)
         # Several names for each partition, so that hashing deals them evenly.
         packed = self.texts.mapInArrow(_postings(self.size, self.seed, self.percent, 8 * parts, self.frequent, self.rank), "part long, postings binary")
-        blocks = packed.repartition(parts, "part").mapInArrow(_blocks, "block long, m long, first long, class long")
+        blocks = packed.repartition(parts, "part").mapInArrow(_blocks(self.percent), "block long, m long, first long, class long")
         self.blocks = materialise(blocks, "shingle-blocks")
         self.points = self.classes.select("class", "n", "vector")
 
