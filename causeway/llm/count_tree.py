@@ -24,18 +24,24 @@ def groups_for(n: int) -> int:
     return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (4 * n - 1).bit_length()))
 
 
+#: Counts above this are written as numbers, others as planes.
+MOST_PLANES = 7
+
+
 def count_vector(hashes: np.ndarray) -> bytes:
-    """Counts by group, in 1, 2 or 4 bytes each, compressed; the first byte tells
-    their width, the next one the logarithm of the number of groups."""
+    """Counts by group, packed."""
     groups = groups_for(len(hashes))
-    counts = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups)
-    top = counts.max()
-    width = 1 if top < 256 else 2 if top < 65536 else 4
-    return pack(counts, width)
+    return pack(np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups))
 
 
-def pack(counts: np.ndarray, width: int) -> bytes:
-    return bytes([width, len(counts).bit_length() - 1]) + zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
+def pack(counts: np.ndarray) -> bytes:
+    """The first byte tells the form, the next one the logarithm of the number of
+    groups; the rest is compressed.  Form 0 has planes of bits, that of k tells which
+    counts pass k; forms 1, 2 and 4 have so many bytes for each count."""
+    top = int(counts.max())
+    form = 0 if top <= MOST_PLANES else 1 if top < 256 else 2 if top < 65536 else 4
+    raw = counts.astype(f"<u{form}") if form else np.packbits([counts > k for k in range(top)], axis=1)
+    return bytes([form, len(counts).bit_length() - 1]) + zlib.compress(raw.tobytes(), 1)
 
 
 def groups_of(packed: bytes) -> int:
@@ -43,7 +49,10 @@ def groups_of(packed: bytes) -> int:
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(memoryview(packed)[2:]), f"<u{packed[0]}")
+    raw = zlib.decompress(memoryview(packed)[2:])
+    if packed[0]:
+        return np.frombuffer(raw, f"<u{packed[0]}")
+    return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, groups_of(packed) // 8), axis=1).sum(axis=0, dtype=np.uint8)
 
 
 def fold(counts: np.ndarray, groups: int) -> np.ndarray:

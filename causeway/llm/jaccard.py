@@ -141,7 +141,9 @@ def prefix(h: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int)
     return rare[:take]
 
 
-def _postings(size: int, seed: int, percent: int, parts: int, frequent: np.ndarray, rank: np.ndarray):
+def _postings(size: int, seed: int, percent: int, parts: list[int], frequent: np.ndarray, rank: np.ndarray):
+    names_of = np.array(parts, np.int64)
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -155,7 +157,7 @@ def _postings(size: int, seed: int, percent: int, parts: int, frequent: np.ndarr
             # Short hashes come first in every set; a product spreads them evenly.
             k = np.concatenate(keys) * np.uint64(0xD6E8FEB86659FD93)
             s, n = np.concatenate(sets), np.concatenate(sizes)
-            part = ((k >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+            part = names_of[((k >> np.uint64(40)) * np.uint64(len(parts)) >> np.uint64(24)).astype(np.int64)]
             order = np.argsort(part, kind="stable")
             names, starts = np.unique(part[order], return_index=True)
             blobs = [pack_postings(k[i], s[i], n[i]) for i in np.split(order, starts[1:])]
@@ -331,8 +333,10 @@ class _Join:
         # A task's share doesn't grow with the table.
         total = self.docs.agg(F.sum(F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1)).first()[0] or 0
         parts = max(shuffle_partitions(self.spark), int(total) // POSTINGS + 1)
-        # Several names for each partition, so that hashing deals them evenly.
-        packed = self.texts.mapInArrow(_postings(self.size, self.seed, self.percent, 8 * parts, self.frequent, self.rank), "part long, postings binary")
+        # A name for each partition: the first number that hashing deals to it.
+        dealt = self.spark.range(32 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("to")).agg(F.min("id").alias("id")).collect()
+        names = [r["id"] for r in dealt]
+        packed = self.texts.mapInArrow(_postings(self.size, self.seed, self.percent, names, self.frequent, self.rank), "part long, postings binary")
         blocks = packed.repartition(parts, "part").mapInArrow(_blocks(self.percent), "block long, m long, first long, class long")
         self.blocks = materialise(blocks, "shingle-blocks")
         self.points = self.classes.select("class", "n", "vector")
