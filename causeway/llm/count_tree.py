@@ -40,7 +40,7 @@ def pack(counts: np.ndarray) -> bytes:
     counts pass k; forms 1, 2 and 4 have so many bytes for each count."""
     top = int(counts.max())
     form = 0 if top <= MOST_PLANES else 1 if top < 256 else 2 if top < 65536 else 4
-    raw = counts.astype(f"<u{form}") if form else np.packbits([counts > k for k in range(top)], axis=1)
+    raw = counts.astype(f"<u{form}") if form else np.packbits([counts > k for k in range(max(1, top))], axis=1)
     return bytes([form, len(counts).bit_length() - 1]) + zlib.compress(raw.tobytes(), 1)
 
 

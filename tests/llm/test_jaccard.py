@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from causeway.llm import jaccard
 from causeway.llm.components import components
-from causeway.llm.count_tree import CountTree, count_vector, least_overlap, pairs_across, pairs_among, vectors
+from causeway.llm.count_tree import CountTree, count_vector, least_overlap, pack, pairs_across, pairs_among, unpack, vectors
 from causeway.llm.jaccard import jaccard_components, pack_postings, prefix, unpack_postings
 from causeway.llm.shingles import shingle_hashes, shingle_set
 
@@ -148,3 +148,9 @@ def test_real_and_odd_rows(spark, sf_dir, odd_docs, no_docs):
     assert run(docs) == brute([tuple(r) for r in docs.collect()])
     assert run(odd_docs) == brute([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
     assert run(no_docs) == []
+
+
+def test_count_vectors_round_trip():
+    for counts in ([0] * 256, [1, 0, 2, 7] * 64, [8] * 256, [300] * 256, [70_000] * 256):
+        assert unpack(pack(np.array(counts))).tolist() == counts
+    assert unpack(count_vector(np.zeros(0, np.uint64))).sum() == 0
