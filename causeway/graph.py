@@ -104,6 +104,23 @@ class DiGraph:
     def zero(self) -> DiGraph:
         return type(self)(self.spark, 0)
 
+    def one(self) -> DiGraph:
+        """The graph of a single node."""
+        return type(self)(self.spark, 1)
+
+    @property
+    def eltype(self) -> type:
+        """Type of the nodes."""
+        return int
+
+    @staticmethod
+    def src(edge: tuple[int, int]) -> int:
+        return edge[0]
+
+    @staticmethod
+    def dst(edge: tuple[int, int]) -> int:
+        return edge[1]
+
     def add_vertex(self) -> DiGraph:
         top = self.nodes.agg(F.coalesce(F.max("node"), F.lit(0)).alias("m")).first()["m"]
         return self._with(nodes=self.nodes.unionByName(self._node_rows([top + 1])))
@@ -134,7 +151,12 @@ class DiGraph:
         return self._with(nodes=self.nodes.filter(F.col("node") != v), edges=self.edges.filter((F.col("src") != v) & (F.col("dst") != v)))
 
     def check(self, *indices: int) -> None:
-        validate.require_nodes(self.nv(), *indices)
+        """Indices must be nodes; those of a graph that lost nodes need not be 1..n."""
+        whole = [i for i in indices if isinstance(i, int) and not isinstance(i, bool)]
+        found = {r["node"] for r in self.nodes.filter(F.col("node").isin(whole)).collect()}
+        if len(whole) != len(indices) or not found.issuperset(whole):
+            validate.require_nodes(self.nv(), *indices)
+            raise ValueError(f"Node indices must be nodes of the graph, got {sorted(set(whole) - found)}")
 
 
 SimpleDiGraph = DiGraph

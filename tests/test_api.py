@@ -165,3 +165,13 @@ def test_streaming_closure(spark, tmp_path):
     write_graph(g.e(), g.v(), str(tmp_path / "graph"))
     edges, nodes = read_graph(spark, str(tmp_path / "graph"))
     assert edges.count() == 3 and nodes.count() == 3
+
+
+def test_nodes_after_a_removal(spark):
+    g = C.CausalGraph(spark, [(1, 2), (2, 3)]).rem_vertex(1)
+    assert g.vertices() == [2, 3] and C.markov_boundary(g, 3) == {2}
+    with pytest.raises(ValueError):
+        C.markov_boundary(g, 1)
+    with pytest.raises(ValueError):
+        C.markov_boundary(g, 4)
+    assert (g.src((2, 3)), g.dst((2, 3)), g.eltype, g.one().vertices()) == (2, 3, int, [1])
