@@ -54,5 +54,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30
     return w
 
 
+def fit_signed(x: np.ndarray, y: np.ndarray, signs: list[int], l2: float = 1.0, weight: np.ndarray | None = None) -> np.ndarray:
+    """``fit_logistic`` without weights against ``signs``: features that get one
+    are left out, and the rest is fitted again."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1] + 1)
+        w[np.append(used, True)] = fit_logistic(x[:, used], y, l2, weight=weight)
+        wrong = w[:-1] * np.array(signs) < 0
+        if not wrong.any():
+            return w
+        used &= ~wrong
+
+
 def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))

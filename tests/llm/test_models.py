@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from causeway.llm import quality, queries, toxicity
-from causeway.llm.labelled import fit_logistic, training_sample
+from causeway.llm.labelled import fit_logistic, fit_signed, training_sample
 from causeway.llm.quality import LineField
 
 
@@ -152,6 +152,66 @@ def test_grammar_against_enumeration():
         assert np.isclose(toxicity.GRAMMAR.best("".join(symbols))[0], max(found, default=0.0))
 
 
+def rewritten(symbols, mark, reach, change):
+    out = []
+    for i, x in enumerate(symbols):
+        near = any(symbols[j] == mark for j in range(max(0, i - reach), i))
+        out.append(change.get(x, x) if near and x != mark else x)
+    return "".join(out)
+
+
+def test_composition_against_enumeration():
+    """The composed transducer's best path is that of the grammar over what the
+    negation's and then the report's transducer write."""
+    rng = np.random.default_rng(7)
+    clauses = ["".join(rng.choice(list("12TYNRFO"), n)) for n in range(1, 24) for _ in range(25)]
+    for symbols in [*("".join(p) for p in product("3NRYO", repeat=4)), *clauses]:
+        negated = rewritten(symbols, "N", 3, dict(zip("123T", "abct")))
+        both = rewritten(negated, "R", 8, dict(zip("123Tabct", "ABCSxyzs")))
+        assert np.isclose(toxicity.COMPOSED.best(symbols)[0], toxicity.GRAMMAR.best(both)[0])
+
+
+def test_compose_adds_weights():
+    a = toxicity.Transducer.of("x", 1.0, "y") | toxicity.Transducer.of("x", 5.0, "z")
+    both = a.compose(toxicity.Transducer.of("y", 2.0, "out"))
+    assert both.best("x") == (3.0, {"out": 1}) and both.best("y")[0] == 0
+
+
+def test_long_clause():
+    """A clause of many insults, without an end, is parsed whole."""
+    weight, parts = toxicity.parse_clause("2" * 200_000)
+    assert weight == 400_000 and parts == {"insult ": 200_000}
+
+
+def test_marked_forms_count_for_less(spark, real):
+    """After fitting too, negated and reported matches weigh less than plain ones."""
+    model = toxicity.fit_toxicity(*real)
+    assert all(w * sign >= 0 for w, sign in zip(model.weights, toxicity.SIGNS))
+    texts = ["You are an idiot.", "You are not an idiot.", "She said that you are an idiot.", "A fine day."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain, negated, reported, clean = (r["score"] for r in toxicity.score_toxicity(docs, model).orderBy("doc_id").collect())
+    assert clean < min(negated, reported) and max(negated, reported) < plain
+
+
+def test_signed_fit():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3))
+    y = (x @ [2.0, -1.0, 0.5] + rng.normal(size=500) > 0).astype(float)
+    assert np.allclose(fit_signed(x, y, [1, -1, 1]), fit_logistic(x, y))
+    w = fit_signed(x, y, [1, 1, 1])
+    assert w[1] == 0 and np.allclose(w[[0, 2, 3]], fit_logistic(x[:, [0, 2]], y))
+
+
+def test_weak_stems(spark):
+    """Inflected forms of a stem count by the stem; the bare word does not."""
+    ends = ["an", "be", "co", "du", "el", "fi", "ga", "ho", "ir", "ju"]
+    plain = [f"w{chr(97 + i)} says the day is fine" for i in range(24)]
+    bad = [(f"x{chr(97 + i)} grumo{ends[i % 10]} y{chr(97 + i)} grumo{ends[(i + 3) % 10]} the day", 1, 1.0) for i in range(20)]
+    rows = [(p, 0, 1.0) for p in plain] + bad
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int, weight double"))
+    assert lexicon.symbol("grumokle") in "123" and lexicon.symbol("grumo") == "O"
+
+
 def test_sampled_classes_keep_their_shares(spark, real):
     """A bound below both classes' sizes leaves the weighted shares those of all labels."""
     docs, labels = real
