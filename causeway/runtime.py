@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where unset (tests), one of our own."""
+    """The folder in ``spark.checkpoint.dir``; where unset in local mode (tests), one of
+    our own.  A cluster without it is refused: its hosts share no temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     where = where or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='causeway-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

@@ -175,3 +175,15 @@ def test_nodes_after_a_removal(spark):
     with pytest.raises(ValueError):
         C.markov_boundary(g, 4)
     assert (g.src((2, 3)), g.dst((2, 3)), g.eltype, g.one().vertices()) == (2, 3, int, [1])
+
+
+def test_cluster_needs_a_shared_folder():
+    """Only local mode makes a folder of its own."""
+    from types import SimpleNamespace
+
+    from causeway.runtime import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
