@@ -32,7 +32,8 @@ from .common import arrow_batches, materialise, text_of, tidy
 RUN = 3
 #: Words that make a run of fewer lines count in the contract query.
 PASSAGE_WORDS = 50
-_SPACES = re.compile(r"[\x20\x09-\x0D]+")
+#: White space that isn't one space already.
+_SPACES = re.compile(r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")
 
 
 def lines_of(text: str) -> list[tuple[int, str]]:
@@ -62,7 +63,11 @@ def passages(lengths: list[int], run: int, words: int | None) -> list[tuple[int,
     """(position, lines) of each run of fewer than ``run`` lines with ``words`` words."""
     if words is None:
         return []
-    return [(i, r) for r in range(1, run) for i in range(len(lengths) - r + 1) if sum(lengths[i : i + r]) >= words]
+    out, sums = [], lengths
+    for r in range(1, run):
+        out += [(i, r) for i, n in enumerate(sums) if n >= words]
+        sums = [a + b for a, b in zip(sums, lengths[r:])]
+    return out
 
 
 def _anchors(run: int, words: int | None):
@@ -101,10 +106,11 @@ def extend(matches: list[tuple[int, int, tuple]]) -> list[tuple[int, int, tuple]
     return sorted((a, n, o) for a, n, o in out)
 
 
-def cut_lines(text: str, starts: list[int], run: int, more: list[tuple[int, int]] = []) -> tuple[str, int, int]:
+def cut_lines(text: str, starts: list[int], run: int, more: list[tuple[int, int]] = [], lines: list[tuple[int, str]] | None = None) -> tuple[str, int, int]:
     """The text without the lines that windows at ``starts`` and ``more`` runs
-    (position, lines) cover, the number of lines cut and of runs they form."""
-    lines = lines_of(text)
+    (position, lines) cover, the number of lines cut and of runs they form.
+    ``lines`` are those of :func:`lines_of`, if known."""
+    lines = lines_of(text) if lines is None else lines
     gone = {j for s, r in [*((s, run) for s in starts), *more] for j in range(s, s + r)}
     runs = sum(1 for j in gone if j - 1 not in gone)
     numbers = {lines[j][0] for j in gone}
@@ -119,9 +125,10 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text, found in zip(batch.column("text").to_pylist(), batch.column("matches").to_pylist()):
             runs = extend([(m["at"], m["span"], tuple(m["origin"].values())) for m in found or []])
-            kept, lines, several = cut_lines(text, [], 0, [r[:2] for r in runs])
+            lines = lines_of(text)
+            kept, cut, several = cut_lines(text, [], 0, [r[:2] for r in runs], lines) if runs else (text, 0, 0)
             spans = [{"at": a, "lines": n, "of_id": None if o[0] == null else o[0], "of_at": o[2]} for a, n, o in runs]
-            out.append((len(lines_of(text)), lines, several, kept, hashlib.sha256(kept.encode()).hexdigest(), spans))
+            out.append((len(lines), cut, several, kept, hashlib.sha256(kept.encode()).hexdigest(), spans))
         names = ["n_lines", "n_removed", "n_runs", "kept_text", "kept_sha256", "copies"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(copy)]
         arrays = [pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]
