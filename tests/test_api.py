@@ -187,3 +187,20 @@ def test_cluster_needs_a_shared_folder():
     context = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_long_chains_are_checked(spark, monkeypatch):
+    """A chain of 100,000 edges, with and without a way back; large graphs take the other way."""
+    from pyspark.sql import functions as F
+
+    from causeway.operators import validate
+
+    chain = spark.range(100_000).select(F.lit("chain").alias("graph_id"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    back = chain.withColumn("graph_id", F.lit("ring")).union(spark.createDataFrame([("ring", 100_000, 0), ("self", 1, 1), ("twice", 1, 2), ("twice", 1, 2)], "graph_id string, src long, dst long"))
+    graphs = spark.createDataFrame([(g,) for g in ("chain", "ring", "self", "twice", "none")], "graph_id string")
+    found = {r["graph_id"]: r["is_dag"] for r in validate.is_dag(chain.union(back), graphs).collect()}
+    assert found == {"chain": True, "ring": False, "self": False, "twice": True, "none": True}
+    monkeypatch.setattr(validate, "PEELED_EDGES", 1)
+    few = back.filter("graph_id in ('self', 'twice')")
+    found = {r["graph_id"]: r["is_dag"] for r in validate.is_dag(few, graphs.filter("graph_id in ('self', 'twice')")).collect()}
+    assert found == {"self": False, "twice": True}
