@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, spread, spread_to_join
 
 #: Up to so many edges the closure is doubled; beyond, seeds are followed level by level.
 DOUBLING_EDGES = 20_000
@@ -54,7 +54,8 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 def parents(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``qid, node``: sources of edges into the seeds ``(qid, graph_id, node)``."""
-    return seeds.join(edges.withColumnRenamed("dst", "node"), ["graph_id", "node"]).select("qid", F.col("src").alias("node")).distinct()
+    up = spread_to_join(edges.withColumnRenamed("dst", "node"), seeds, "node")
+    return spread(seeds.join(up, ["graph_id", "node"]).select("qid", F.col("src").alias("node")), "qid", "node").distinct()
 
 
 def children(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def fk_children_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fk_parents_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parents of every part by kind."""
     seeds = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("qid"), F.lit("fk").alias("graph_id"), (6 * KIND + F.col("p_partkey")).alias("node"))
-    up = closure.parents(entity_edges(spark, sf_dir), seeds)
+    up = closure.parents(entity_edges(spark, sf_dir, into=[6]), seeds)
     return up.groupBy("qid", F.floor(F.col("node") / KIND).cast("long").alias("kind")).agg(F.count(F.lit(1)).alias("n_parents"))
 
 

@@ -27,3 +27,37 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/causeway/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of input files behind one partition of :func:`spread`.
+PART_BYTES = 4 << 20
+
+
+def partitions(*tables: DataFrame) -> int:
+    """How many partitions the rows of ``tables`` are dealt out to, by the size of the
+    files that they are read from; 0 where Spark's own number will do, and for tables
+    that are not read from files."""
+    size = 0
+    for df in tables:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+        size += sum(x for x in sizes if x < 1 << 60)  # Spark's word for unknown is the greatest long
+    n = -(-size // PART_BYTES)
+    return n if n > int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+
+
+def spread(df: DataFrame, *keys: str, beside: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """``df`` dealt out by ``keys``: with more input come more partitions, not larger
+    ones.  Spark deals out to a fixed number, so that each task's memory would grow.
+    ``beside``: further tables whose rows will come to the same partitions."""
+    n = partitions(df, *beside)
+    return df.repartition(n, *keys) if n else df
+
+
+def spread_to_join(df: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` to be joined with ``other``, which Spark then deals
+    out alike; unchanged where ``other`` is small enough for Spark to broadcast it."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    if int(other._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= conf.autoBroadcastJoinThreshold():
+        return df
+    return spread(df, *keys, beside=(other,))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 EDGES = "src long, dst long"
 
 
@@ -49,22 +52,22 @@ def write_graph(edges: DataFrame, nodes: DataFrame, path: str, mode: str = "erro
 KIND = 10**12
 
 
-def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entity_edges(spark: SparkSession, sf_dir: str, into: Iterable[int] = range(2, 7)) -> DataFrame:
     """``graph_id, src, dst`` of the acyclic graph region > nation > customer >
-    order > part and nation > supplier > part, from foreign keys."""
+    order > part and nation > supplier > part, from foreign keys.
+
+    ``into``: the kinds of nodes whose incoming edges are wanted, for questions that
+    no other edge can answer."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     node = lambda kind, c: (F.lit(kind * KIND) + F.col(c).cast("long"))
-    link = lambda df, a, x, b, y: df.select(node(a, x).alias("src"), node(b, y).alias("dst"))
-    lines = read("lineitem")
-    edges = [
-        link(read("nation"), 1, "n_regionkey", 2, "n_nationkey"),
-        link(read("customer"), 2, "c_nationkey", 3, "c_custkey"),
-        link(read("orders"), 3, "o_custkey", 4, "o_orderkey"),
-        link(read("supplier"), 2, "s_nationkey", 5, "s_suppkey"),
-        link(lines, 4, "l_orderkey", 6, "l_partkey").distinct(),
-        link(lines, 5, "l_suppkey", 6, "l_partkey").distinct(),
+    link = lambda t, a, x, b, y: read(t).select(node(a, x).alias("src"), node(b, y).alias("dst"))
+    links = [
+        link("nation", 1, "n_regionkey", 2, "n_nationkey"),
+        link("customer", 2, "c_nationkey", 3, "c_custkey"),
+        link("orders", 3, "o_custkey", 4, "o_orderkey"),
+        link("supplier", 2, "s_nationkey", 5, "s_suppkey"),
+        spread(link("lineitem", 4, "l_orderkey", 6, "l_partkey"), "src", "dst").distinct(),
+        spread(link("lineitem", 5, "l_suppkey", 6, "l_partkey"), "src", "dst").distinct(),
     ]
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
+    out = reduce(DataFrame.unionByName, [df for kind, df in zip((2, 3, 4, 5, 6, 6), links) if kind in into])
     return out.select(F.lit("fk").alias("graph_id"), "src", "dst")
