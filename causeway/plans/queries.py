@@ -12,6 +12,7 @@ from ..estimate import effect_table
 from ..functions import members, powerset
 from ..hypergraph import cooccurrence, incidence
 from ..operators import closure, dsep, identify, paths, validate
+from ..runtime import spread
 from ..sources import KIND, edges_of_adjacency, entity_edges, nodes_of
 from . import fixtures
 from .oracles import DSEP, FRONTDOORS, INSTRUMENTS, NAMES, VALID
@@ -139,7 +140,7 @@ def fk_ancestors_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def fk_children_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many nodes of a kind have how many children."""
-    fan = entity_edges(spark, sf_dir).groupBy("src").agg(F.count(F.lit(1)).alias("n_children"))
+    fan = spread(entity_edges(spark, sf_dir), "src").groupBy("src").agg(F.count(F.lit(1)).alias("n_children"))
     return fan.select(F.floor(F.col("src") / KIND).cast("long").alias("kind"), "n_children").groupBy("kind", "n_children").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 

@@ -1,5 +1,7 @@
 """Partitions grow in number with the input, so that a task's memory does not."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -53,3 +55,10 @@ def test_parents_without_broadcast(spark, sf_dir, many):
 def test_small_tables_are_left_to_spark(spark, sf_dir):
     assert runtime.partitions(spark.read.parquet(f"{sf_dir}/nation.parquet")) == 0
     assert runtime.partitions(spark.createDataFrame([(1,)], "a long")) == 0
+
+
+def test_children_fanout(spark, sf_dir, many):
+    check(spark, sf_dir, "fk_children_fanout")
+    plan = QUERIES["fk_children_fanout"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(src#\d+L, (\d+)\)", plan)]
+    assert dealt and min(dealt) > 2
