@@ -31,17 +31,29 @@ def reach(edges: DataFrame, seeds: DataFrame, key: list[str]) -> DataFrame:
     """``seeds`` and every node that a directed path reaches from them.
 
     ``edges(key, src, dst)``, ``seeds(key, ..., node)``: further columns of
-    ``seeds`` name the walker, and the result keeps them."""
+    ``seeds`` name the walker, and the result keeps them.  Where all walkers stand on
+    few nodes, the few edges from there go to the walkers, not both to each other."""
     walker = [c for c in seeds.columns if c != "node"]
     edges = cut(edges.select(*key, "src", "dst"))  # each level reads them again
     if edges.limit(DOUBLING_EDGES + 1).count() <= DOUBLING_EDGES:
         step = seeds.join(closure(edges, key).withColumnRenamed("src", "node"), [*key, "node"])
         return seeds.unionByName(step.select(*walker, F.col("dst").alias("node"))).distinct()
-    found = cut(seeds.distinct())
+    edges = edges.withColumnRenamed("src", "node")
+    found = cut(spread(seeds, *walker, "node").distinct())
     front = found
     while True:
-        ahead = front.join(edges.withColumnRenamed("src", "node"), [*key, "node"]).select(*walker, F.col("dst").alias("node")).distinct()
-        front = cut(ahead.join(found, [*walker, "node"], "left_anti"))
+        out, met = edges, found
+        if front.agg(F.approx_count_distinct(F.struct(*key, "node"))).first()[0] <= DOUBLING_EDGES:
+            out = cut(edges.join(F.broadcast(front.select(*key, "node").distinct()), [*key, "node"], "left_semi"))
+            size = out.count()
+            if not size:
+                return found
+            if size <= DOUBLING_EDGES:
+                met = found.join(F.broadcast(out.select(*key, F.col("dst").alias("node")).distinct()), [*key, "node"], "left_semi")
+                out = F.broadcast(out)
+        ahead = front.join(spread_to_join(out, front, *key, "node") if out is edges else out, [*key, "node"]).select(*walker, F.col("dst").alias("node"))
+        ahead = spread(ahead, *walker, "node", beside=(met,)).distinct()
+        front = cut(ahead.join(met, [*walker, "node"], "left_anti"))
         if front.isEmpty():
             return found
         found = found.unionByName(front)
@@ -65,9 +77,8 @@ def children(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``qid, node`` over the seeds ``(qid, graph_id, node)``.  A seed is left out of
     its own descendants only, so in 1->2 the descendants of {1, 2} are {2}."""
-    starts = seeds.withColumn("seed", F.col("node")).distinct()
-    found = reach(edges, starts, ["graph_id"])
-    return found.filter("node <> seed").select("qid", "node").distinct()
+    found = reach(edges, seeds.withColumn("seed", F.col("node")), ["graph_id"])
+    return spread(found.filter("node <> seed").select("qid", "node"), "qid", "node").distinct()
 
 
 def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -76,9 +87,9 @@ def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def markov_boundary(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``qid, node``: parents, children and the children's other parents."""
-    kids = seeds.withColumnRenamed("node", "src").join(edges, ["graph_id", "src"]).select("qid", "graph_id", F.col("dst").alias("node"))
+    kids = seeds.withColumnRenamed("node", "src").join(spread_to_join(edges, seeds, "src"), ["graph_id", "src"]).select("qid", "graph_id", F.col("dst").alias("node"))
     around = parents(edges, seeds).unionByName(kids.select("qid", "node")).unionByName(parents(edges, kids.distinct()))
-    return around.distinct().join(seeds.select("qid", "node"), ["qid", "node"], "left_anti")
+    return spread(around, "qid", "node").distinct().join(seeds.select("qid", "node"), ["qid", "node"], "left_anti")
 
 
 def skeleton(edges: DataFrame) -> DataFrame:

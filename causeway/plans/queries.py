@@ -134,7 +134,7 @@ def fk_descendant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fk_ancestors_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ancestors of every order."""
     seeds = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("qid"), F.lit("fk").alias("graph_id"), (4 * KIND + F.col("o_orderkey")).alias("node"))
-    return closure.ancestors(entity_edges(spark, sf_dir), seeds)
+    return closure.ancestors(entity_edges(spark, sf_dir, into=[2, 3, 4]), seeds)
 
 
 @_query
@@ -156,13 +156,13 @@ def fk_parents_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fk_markov_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each customer's Markov boundary."""
     seeds = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("qid"), F.lit("fk").alias("graph_id"), (3 * KIND + F.col("c_custkey")).alias("node"))
-    return closure.markov_boundary(entity_edges(spark, sf_dir), seeds).groupBy("qid").agg(F.count(F.lit(1)).alias("n_boundary"))
+    return closure.markov_boundary(entity_edges(spark, sf_dir, into=[3, 4]), seeds).groupBy("qid").agg(F.count(F.lit(1)).alias("n_boundary"))
 
 
 @_query
 def fk_weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the customers and orders alone."""
-    edges = entity_edges(spark, sf_dir).filter((F.col("src") >= 3 * KIND) & (F.col("dst") < 5 * KIND))
+    edges = entity_edges(spark, sf_dir, into=[4]).filter((F.col("src") >= 3 * KIND) & (F.col("dst") < 5 * KIND))
     nodes = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
     labels = identify.weak_labels(edges, nodes)
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_nodes"))

@@ -62,12 +62,12 @@ def entity_edges(spark: SparkSession, sf_dir: str, into: Iterable[int] = range(2
     node = lambda kind, c: (F.lit(kind * KIND) + F.col(c).cast("long"))
     link = lambda t, a, x, b, y: read(t).select(node(a, x).alias("src"), node(b, y).alias("dst"))
     links = [
-        link("nation", 1, "n_regionkey", 2, "n_nationkey"),
-        link("customer", 2, "c_nationkey", 3, "c_custkey"),
-        link("orders", 3, "o_custkey", 4, "o_orderkey"),
-        link("supplier", 2, "s_nationkey", 5, "s_suppkey"),
-        spread(link("lineitem", 4, "l_orderkey", 6, "l_partkey"), "src", "dst").distinct(),
-        spread(link("lineitem", 5, "l_suppkey", 6, "l_partkey"), "src", "dst").distinct(),
+        (2, lambda: link("nation", 1, "n_regionkey", 2, "n_nationkey")),
+        (3, lambda: link("customer", 2, "c_nationkey", 3, "c_custkey")),
+        (4, lambda: link("orders", 3, "o_custkey", 4, "o_orderkey")),
+        (5, lambda: link("supplier", 2, "s_nationkey", 5, "s_suppkey")),
+        (6, lambda: spread(link("lineitem", 4, "l_orderkey", 6, "l_partkey"), "src", "dst").distinct()),
+        (6, lambda: spread(link("lineitem", 5, "l_suppkey", 6, "l_partkey"), "src", "dst").distinct()),
     ]
-    out = reduce(DataFrame.unionByName, [df for kind, df in zip((2, 3, 4, 5, 6, 6), links) if kind in into])
+    out = reduce(DataFrame.unionByName, [table() for kind, table in links if kind in into])
     return out.select(F.lit("fk").alias("graph_id"), "src", "dst")

@@ -1,5 +1,6 @@
 """Partitions grow in number with the input, so that a task's memory does not."""
 
+import random
 import re
 
 import duckdb
@@ -62,3 +63,37 @@ def test_children_fanout(spark, sf_dir, many):
     plan = QUERIES["fk_children_fanout"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     dealt = [int(n) for n in re.findall(r"hashpartitioning\(src#\d+L, (\d+)\)", plan)]
     assert dealt and min(dealt) > 2
+
+
+def test_ancestors_of_orders(spark, sf_dir, many, monkeypatch, tmp_path):
+    """From tables that can hold ancestors alone: line items have none to give."""
+    for t in ("nation", "customer", "orders"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    for t in ("supplier", "lineitem"):  # their rows would end the query
+        (tmp_path / f"{t}.parquet").write_text("not a table")
+    con = duckdb.connect()
+    for t in ("nation", "customer", "orders"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    expected = sorted(con.execute(SQL["fk_ancestors_of_orders"]).fetchall())
+    monkeypatch.setattr(closure, "DOUBLING_EDGES", 100)
+    found = [tuple(r) for r in QUERIES["fk_ancestors_of_orders"](spark, str(tmp_path)).select("qid", "node").collect()]
+    assert sorted(found) == expected
+
+
+@pytest.mark.parametrize("few", [0, 6])
+def test_reach_with_cycles(spark, many, monkeypatch, few):
+    monkeypatch.setattr(closure, "DOUBLING_EDGES", few)
+    draw = random.Random(few)
+    edges = sorted({(g, draw.randrange(9), draw.randrange(9)) for g in "ab" for _ in range(11)})
+    seeds = [(q, "ab"[q % 2], draw.randrange(9)) for q in range(8)]
+    expected = set()
+    for q, g, start in seeds:
+        todo, seen = [start], {start}
+        while todo:
+            new = {d for h, s, d in edges if h == g and s in todo} - seen
+            seen, todo = seen | new, list(new)
+        expected |= {(q, g, v) for v in seen}
+    e = spark.createDataFrame(edges, "graph_id string, src long, dst long")
+    found = closure.reach(e, spark.createDataFrame(seeds, "qid long, graph_id string, node long"), ["graph_id"])
+    rows = [(r["qid"], r["graph_id"], r["node"]) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected
