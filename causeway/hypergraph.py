@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import DiGraph
+from .runtime import partitions
 
+#: Slices of hyperedges in a partition of cooccurrence, so that partitions come out even.
+SLICES = 16
 SCHEMA = "he_id long, vertices array<long>"
 
 
@@ -26,9 +29,17 @@ def incidence(hyperedges: DataFrame) -> DataFrame:
 
 
 def cooccurrence(hyperedges: DataFrame) -> DataFrame:
-    """``a, b, n``: in how many hyperedges two vertices a < b meet."""
-    pairs = hyperedges.select(F.explode("vertices").alias("a"), "vertices").select("a", F.explode(F.filter("vertices", lambda v: v > F.col("a"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    """``a, b, n``: in how many hyperedges two vertices a < b meet.
+
+    Large inputs are counted by slices of hyperedges first, so that pairs which meet
+    often are dealt out as few rows, and in partitions that grow in number only."""
+    n = partitions(hyperedges)
+    if n:
+        hyperedges = hyperedges.withColumn("slice", F.pmod(F.xxhash64("he_id"), F.lit(SLICES * n))).repartition(n, "slice")
+    kept = ["slice"] if n else []
+    pairs = hyperedges.select(*kept, F.explode("vertices").alias("a"), "vertices").select(*kept, "a", F.explode(F.filter("vertices", lambda v: v > F.col("a"))).alias("b"))
+    counts = pairs.groupBy(*kept, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return counts.repartition(n, "a", "b").groupBy("a", "b").agg(F.sum("n").alias("n")) if n else counts
 
 
 class Hypergraph:

@@ -171,7 +171,7 @@ def fk_weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Hyperedges: the parts of an order
 def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey")
-    return lines.groupBy(F.col("l_orderkey").alias("he_id")).agg(members("l_partkey").alias("vertices"))
+    return spread(lines, "l_orderkey").groupBy(F.col("l_orderkey").alias("he_id")).agg(members("l_partkey").alias("vertices"))
 
 
 @_query

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from causeway import runtime
+from causeway.hypergraph import cooccurrence
 from causeway.operators import closure
 from causeway.plans.oracles import SQL
 from causeway.plans.queries import QUERIES
@@ -97,3 +98,19 @@ def test_reach_with_cycles(spark, many, monkeypatch, few):
     found = closure.reach(e, spark.createDataFrame(seeds, "qid long, graph_id string, node long"), ["graph_id"])
     rows = [(r["qid"], r["graph_id"], r["node"]) for r in found.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == expected
+
+
+def test_cooccurrence(spark, sf_dir, many):
+    check(spark, sf_dir, "hyper_cooccurrence")
+    check(spark, sf_dir, "hyper_incident")
+    found = QUERIES["hyper_cooccurrence"](spark, sf_dir)
+    assert largest(found) < 0.4 * found.count()
+
+
+def test_frequent_pair_is_dealt_out_as_few_rows(spark, many, tmp_path):
+    spark.range(20_000).selectExpr("id as he_id", "array(1L, 2L, id + 3) as vertices").write.parquet(f"{tmp_path}/edges")
+    found = cooccurrence(spark.read.parquet(f"{tmp_path}/edges"))
+    assert found.count() == 40_001 and found.filter("a = 1 and b = 2").first()["n"] == 20_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    before = plan[plan.index("hashpartitioning(a") :]
+    assert "partial_count(1)" in before  # counted before dealt out by the pair
