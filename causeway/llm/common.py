@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import READ, WRITE
+
 #: Rows handed to a Python worker at once; texts may be long, so batches are small.
 ARROW_ROWS = 512
 
@@ -52,10 +54,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     garbage; asking for that here frees the disk before the next step."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**WRITE, compression="zstd").parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.options(**READ).schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

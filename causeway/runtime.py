@@ -21,12 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Options of a write to the shared folder.  Hadoop's local file system, where its native
+#: library is missing, runs ``chmod`` for each folder, file and checksum file.  Until such a
+#: process has loaded its programme it shares all memory of the executor that began it, so
+#: whoever adds up processes counts the executor twice.  The raw file system needs no
+#: checksum files; reads check Parquet's own.  Other stores don't heed these options.
+WRITE = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+READ = {"parquet.page.verify-checksum.enabled": "true"}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: loops don't pile up plans, and a
     lost executor costs no more than the step at hand."""
     path = f"{shared_dir(df.sparkSession)}/causeway/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**WRITE).parquet(path)
+    return df.sparkSession.read.options(**READ).schema(df.schema).parquet(path)
 
 
 #: Bytes of input files behind one partition of :func:`spread`.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm import exact_dedup, jaccard, packing, quality, substring_dedup
 from causeway.llm.common import scratch, table
+from causeway.runtime import READ, WRITE
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -62,6 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, "stage-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.options(**WRITE).parquet(path)
+        docs = spark.read.options(**READ).parquet(path)
     return docs
