@@ -93,8 +93,20 @@ def unshuffle_planes(data: bytes) -> np.ndarray:
     return out
 
 
+def together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches in a row as one of about ``size`` bytes, so that what they share is looked up once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(x.nbytes for x in held) + batch.nbytes > size:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _writer(path: str, end_id: int | None, block_ids: int, chunk_ids: int, unit: int):
-    end = b"" if end_id is None else struct.pack("<I", end_id)
+    end = np.array([] if end_id is None else [end_id], dtype="<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number, offset = encoder_for(path), 0, 0
@@ -102,22 +114,23 @@ def _writer(path: str, end_id: int | None, block_ids: int, chunk_ids: int, unit:
 
         def flush() -> pa.RecordBatch:
             nonlocal number, offset, doc_ids, lengths, parts, held
-            payload = shuffle_planes(np.frombuffer(b"".join(parts), "<u4"), block_ids, unit)
+            payload = shuffle_planes(np.concatenate(parts), block_ids, unit)
             row = [[shard], [number], [offset], [held], [doc_ids], [lengths], [payload]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], ["shard", "chunk", "shard_offset", "n_ids", "doc_ids", "lengths", "payload"])
             number, offset, doc_ids, lengths, parts, held = number + 1, offset + held, [], [], [], 0
             return out
 
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for name, doc, ids in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), encoder.encode_batch(texts)):
+        for batch in together(batches, encoder.SLICE):
+            ids, counts = encoder.encode(batch.column("text"))
+            at = 0
+            for name, doc, n in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), counts.tolist()):
                 shard = name
-                ids += end
                 doc_ids.append(doc)
-                lengths.append(len(ids) // 4)
-                parts.append(ids)
-                held += len(ids) // 4
+                lengths.append(n + len(end))
+                parts += ids[at : at + n], end
+                at += n
+                held += lengths[-1]
                 if held >= chunk_ids:
                     yield flush()
         if doc_ids:
