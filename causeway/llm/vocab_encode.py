@@ -36,6 +36,15 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are written as the machine holds them: little-endian, 32 bits")
 
 
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """``a`` with room for ``n`` values at least; memory that holds none yet stays untouched."""
+    if n <= len(a):
+        return a
+    out = np.empty(max(2 * len(a), n), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class _Places(dict):
     """The place of each part; parts asked for the first time get the next and are noted as new."""
 
@@ -53,10 +62,10 @@ class ByteLevelEncoder:
     ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
     #: Parts kept; beyond it the older half goes.
-    LIMIT = 1_800_000
+    LIMIT = 1_200_000
 
     #: Bytes of text encoded at once; a longer text comes by itself.
-    SLICE = 4 << 20
+    SLICE = 2 << 20
 
     #: Parts that the library gets as one text.
     BLOCK = 1024
@@ -103,10 +112,6 @@ class ByteLevelEncoder:
         source += np.arange(len(source))
         return self.ids[source]
 
-    def _room(self, n: int) -> None:
-        if self.used + n > len(self.ids):
-            self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + n))
-
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts and how many each has."""
         ids = [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -124,9 +129,13 @@ class ByteLevelEncoder:
                 return ids, np.diff(first, append=len(ids))
         return self._library(texts)
 
-    def _add(self, places: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        self._room(len(ids))
+    def _put(self, ids: np.ndarray) -> None:
+        """``ids`` behind those in use."""
+        self.ids = _grown(self.ids, self.used + len(ids))
         self.ids[self.used : self.used + len(ids)] = ids
+
+    def _add(self, places: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        self._put(ids)
         self.at[places], self.count[places] = self.used + np.cumsum(count) - count, count
         self.used += len(ids)
 
@@ -144,9 +153,7 @@ class ByteLevelEncoder:
                 whole.append(place)
                 stems.append(cache[stem])
                 tails.append(cache["\t" + part[len(stem) :]])
-        if len(cache) > len(self.at):
-            size = max(2 * len(self.at), len(cache))
-            self.at, self.count = np.resize(self.at, size), np.resize(self.count, size)
+        self.at, self.count = _grown(self.at, len(cache)), _grown(self.count, len(cache))
         for i in range(0, len(joined), self.BLOCK):
             places = joined[i : i + self.BLOCK]
             self._add(np.array(places), *self._joined([new[p - known] for p in places]))
@@ -181,8 +188,7 @@ class ByteLevelEncoder:
         heads[odd] = texts.filter(pa.array(odd)).to_numpy(zero_copy_only=False)
         heads[~odd] = lists.values.take(pa.array(cuts[:-1])).to_numpy(zero_copy_only=False)
         ids, count = self._library(heads.tolist())
-        self._room(len(ids))
-        self.ids[self.used : self.used + len(ids)] = ids  # for this slice alone
+        self._put(ids)  # for this slice alone
 
         runs = np.ones(len(texts), np.int64)
         runs[~odd] = np.diff(cuts)
